@@ -141,43 +141,73 @@ def _postings(common, buckets: int):
                 rows, h = rows[by], h[by]
                 place = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 use = place <= (n - least_overlap(n))[rows]
-                rows, h = rows[use], h[use]
+                rows, h, place = rows[use], h[use], place[use]
                 bucket = (tv.mix(h) % _U(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                rows, h, bucket = rows[by], h[by], bucket[by]
+                rows, h, place, bucket = rows[by], h[by], place[by], bucket[by]
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 blobs = []
                 for lo, hi in zip(cut, [*cut[1:], len(bucket)]):
                     own, local = np.unique(rows[lo:hi], return_inverse=True)
                     blobs.append(b"".join(x.tobytes() for x in (
-                        np.array([len(own), hi - lo], np.int64), s1[own], h[lo:hi], local.astype(np.uint32))))
+                        np.array([len(own), hi - lo], np.int64), s1[own], n[own], h[lo:hi], local.astype(np.uint32), place[lo:hi].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and signatures of the postings in one packed row."""
-    own, k = np.frombuffer(blob, np.int64, 2)
-    sig = np.frombuffer(blob, np.uint64, own, 16)
-    h = np.frombuffer(blob, np.uint64, k, 16 + 8 * own)
-    return h, sig[np.frombuffer(blob, np.uint32, k, 16 + 8 * (own + k))]
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    """Shingle, signature, set size and place in the set's order of each posting in one packed row."""
+    own, k = np.frombuffer(blob, np.int64, 2).tolist()
+    at, out = 16, []
+    for kind, size in ((np.uint64, own), (np.int64, own), (np.uint64, k), (np.uint32, k), (np.uint32, k)):
+        out.append(np.frombuffer(blob, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    sig, n, h, local, place = out
+    return [h, sig[local], n[local], place.astype(np.int64)]
+
+
+def _could_link(n1, rest1, n2, rest2):
+    """Whether sizes, and what follows the shared shingle in the order, leave room for a link."""
+    return (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)) & ((100 + PERCENT) * np.minimum(rest1, rest2) >= PERCENT * (n1 + n2))
+
+
+def _partnered(first: np.ndarray, size: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Members that could link with some other member of their cell, by sizes and places.
+
+    Only the first shingle that two sets share is met with the true number of
+    shingles before it; at a later one the bound is looser than it says, but
+    then the first one keeps both members.
+    """
+    use = np.zeros(len(n), bool)
+    two = first[size == 2]
+    use[two] = use[two + 1] = _could_link(n[two], rest[two], n[two + 1], rest[two + 1])
+    for lo, k in zip(first[size > 2], size[size > 2]):
+        hi = lo + k
+        for at in range(lo, hi, 512):  # rows of the comparison held at once
+            end = min(at + 512, hi)
+            fits = _could_link(n[at:end, None], rest[at:end, None], n[None, lo:hi], rest[None, lo:hi])
+            fits[np.arange(end - at), np.arange(at - lo, end - lo)] = False
+            use[at:end] = fits.any(1)
+    return use
 
 
 def _cells(table: pa.Table) -> pa.Table:
-    """(cell, sig, pivot): members of the cells of one bucket that hold two sets or more.
+    """(cell, sig, pivot): members of the cells of one bucket that could link with another one.
 
-    The pivot is the cell's smallest signature.
+    The pivot is the smallest signature of them.
     """
-    h, s = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist())))
+    h, s, n, place = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist())))
     order = np.lexsort((s, h))
-    h, s = h[order], s[order]
+    h, s, n, rest = h[order], s[order], n[order], (n - place)[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    h, s = h[new], s[new]
+    h, s, n, rest = h[new], s[new], n[new], rest[new]
+    _, first, size = np.unique(h, return_index=True, return_counts=True)
+    use = _partnered(first, size, n, rest)
+    h, s = h[use], s[use]
     _, first, size = np.unique(h, return_index=True, return_counts=True)
-    pivot, use = np.repeat(s[first], size), np.repeat(size > 1, size)
-    return pa.table({name: x[use].view(np.int64) for name, x in (("cell", h), ("sig", s), ("pivot", pivot))})
+    return pa.table({name: x.view(np.int64) for name, x in (("cell", h), ("sig", s), ("pivot", np.repeat(s[first], size)))})
 
 
 def _pack_sets(batches):
