@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_join
+from . import line_dedup, mixing, ngram_join, quality_rules
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return lines.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_ngram_jaccard_join, op8_quality_rules)}
