@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -150,8 +151,8 @@ def _probe(min_docs: int):
         for batch in batches:
             blob = batch.column("hash")
             heads = np.flatnonzero(blob.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            h1, h2, doc = (pc.fill_null(batch.column(c), 0).to_numpy() for c in ("h1", "h2", "doc_id"))
+            h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
             drop = np.zeros(len(batch), bool)
             for lo, hi in zip([0, *heads], [*heads, len(batch)]):
                 if lo in heads[:1] or (heads and lo in heads):
