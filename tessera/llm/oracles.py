@@ -20,6 +20,22 @@ select doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as
 from marked group by doc_id
 """
 
+OP2 = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 22 as chars from rows
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from sized group by conv_id
+"""
+
 OP3 = rf"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,
@@ -48,6 +64,32 @@ select doc_id, size, source_size, target,
 from placed
 """
 
+OP7 = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+), bn as (
+  select item_id, words, least(len(words), 10) as n from b where len(words) > 0
+), windows as (
+  select distinct item_id, n, array_to_string(words[i:i + n - 1], ' ') as gram from (select item_id, words, n, unnest(range(1, len(words) - n + 2)) as i from bn)
+), sizes as (
+  select distinct n from windows
+), probes as (
+  select doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') as gram
+  from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from d, sizes where len(words) >= n)
+), hits as (
+  select doc_id, i, n, item_id from probes join windows using (n, gram)
+), covered as (
+  select doc_id, count(distinct w) as n_hit from (select doc_id, unnest(range(i, i + n)) as w from hits) group by doc_id
+), found as (
+  select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct doc_id, item_id from hits) group by doc_id
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)
+"""
+
 OP8 = rf"""
 with d as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words from documents
@@ -81,4 +123,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op3_mixing": OP3, "op8_quality_rules": OP8}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_chat_formatting": OP2, "op3_mixing": OP3, "op7_benchmark_decontamination": OP7, "op8_quality_rules": OP8}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, ngram_join, quality_rules
+from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_rules
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -17,6 +17,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(escaped).alias("text"),
+    )
+    out = chat_format.format_chats(chat_format.table_events(rows.unionByName(fixed)))
+    turns = chat_format.read_turns(F.col("formatted"))
+    read = out.select("conv_id", turns.alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,6 +42,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "__found.n_words", "__found.n_hit", F.size("__found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"), (F.col("__found.n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return lines.select(
@@ -33,4 +59,4 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_ngram_jaccard_join, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_mixing, op4_ngram_jaccard_join, op7_benchmark_decontamination, op8_quality_rules)}
