@@ -12,6 +12,9 @@ How it runs
    then by hash. Two linked sets share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each, so only these become postings.
    Documents that share such a shingle form a *cell*.
+   Each set also has a parity sketch of 1/32 of its size at most: the bits in
+   which two sketches differ bound the shingles in which the sets differ, so
+   most pairs that cannot link go before any set is read.
 3. In each cell, all are compared with one pivot. The verified links give the
    *groups*: near copies fall together here, however many there are.
 4. Each group, in parts of bounded size, stores the union of its members'
@@ -51,6 +54,10 @@ PERCENT = 80
 COMMON = 1 << 18
 #: Postings aimed at in one bucket and members in one part of a group.
 BUCKET, PART = 500_000, 128
+#: Members up to which a group is first compared by sketches.
+SKETCHED = 8
+#: Documents up to which the list of those to read again is broadcast, 8 bytes each.
+BROADCAST_DOCS = 1_000_000
 
 _U = np.uint64
 
@@ -80,33 +87,60 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _sets(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, shingles, offsets, first and second signature by row)."""
+def _sets(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, shingles, offsets, signature by row)."""
     for first, data, offsets in tv.blocks(texts):
         words = tv.Words(data, offsets, fold=tv.FOLD)
         h, at = tv.shingle_sets(words, SHINGLE)
-        yield first, h, at, tv.mix(tv.row_sums(tv.mix(h ^ _U(0x5851F42D4C957F2D)), at)), tv.row_sums(tv.mix(h + _U(77)), at)
+        yield first, h, at, tv.mix(tv.row_sums(tv.mix(h ^ _U(0x5851F42D4C957F2D)), at))
+
+
+def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity sketch of each row's set: 2**k bits, at least 64 and no fewer than the set has shingles."""
+    n = np.diff(at)
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    slot = np.repeat(base, n) + (tv.mix(h + _U(5)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(slot, minlength=int(bits.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [packed[lo // 8 : (lo + k) // 8] for lo, k in zip(base.tolist(), bits.tolist())]
+
+
+def sketches_allow(n1: int, a: bytes, n2: int, b: bytes) -> bool:
+    """Whether two sets of these sizes and sketches could link; true for all that do."""
+    if len(a) < len(b):
+        a, b = b, a
+    size, x = len(a) * 8, int.from_bytes(a, "little")
+    while size > len(b) * 8:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    differ = (x ^ int.from_bytes(b, "little")).bit_count()
+    # At most (n1 + n2 - differ) / 2 shingles are shared; 80 / 180 of n1 + n2 are needed.
+    return (100 + PERCENT) * (n1 + n2 - differ) >= 2 * PERCENT * (n1 + n2)
 
 
 def _profile(batches):
-    """Rows (doc_id, n, s1, s2) of documents, and (shingle, count) of what repeats in a block of them."""
+    """Rows (doc_id, n, s1, sketch) of documents, and (n, s1) as count and shingle of what repeats in a run of them."""
+    names = ["doc_id", "n", "s1", "sketch", "common"]
     pending: list[np.ndarray] = []
+    held = 0
 
     def repeated():
-        h, n = np.unique(np.concatenate(pending), return_counts=True) if pending else (np.zeros(0, np.uint64), np.zeros(0, int))
+        h, n = np.unique(np.concatenate(pending), return_counts=True)
         h, n = h[n > 1], n[n > 1]
-        none = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), none], ["doc_id", "n", "s1", "s2"]).append_column("common", pa.array(np.ones(len(h), bool)))
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(h), pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.binary()), pa.array(np.ones(len(h), bool))], names
+        )
 
-    held = 0
     for batch in batches:
-        parts = []
-        for _, h, at, s1, s2 in _sets(batch.column("text")):
-            parts.append((np.diff(at), s1.view(np.int64), s2.view(np.int64)))
+        sizes, signs, marks = [], [], []
+        for _, h, at, s1 in _sets(batch.column("text")):
+            sizes.append(np.diff(at))
+            signs.append(s1.view(np.int64))
+            marks += sketches(h, at)
             pending.append(h)
             held += len(h)
-        n, s1, s2 = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array(np.zeros(len(n), bool))], ["doc_id", "n", "s1", "s2", "common"])
+        n, s1 = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, signs))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1), pa.array(marks, pa.binary()), pa.array(np.zeros(len(n), bool))], names)
         if held > 4_000_000:
             yield repeated()
             pending, held = [], 0
@@ -121,7 +155,7 @@ def _postings(common, buckets: int):
         tokens, ranks = common.value
         seen: set[int] = set()
         for batch in batches:
-            for _, h, at, s1, _ in _sets(batch.column("text")):
+            for _, h, at, s1 in _sets(batch.column("text")):
                 n = np.diff(at)
                 fresh = np.zeros(len(n), bool)
                 for r in np.flatnonzero(n):
@@ -214,7 +248,7 @@ def _pack_sets(batches):
     """(sig, n, tokens): the sets of documents, as bytes."""
     for batch in batches:
         sigs, sizes, blobs = [], [], []
-        for _, h, at, s1, _ in _sets(batch.column("text")):
+        for _, h, at, s1 in _sets(batch.column("text")):
             sigs.append(s1.view(np.int64))
             sizes.append(np.diff(at))
             blobs += [h[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
@@ -251,14 +285,32 @@ def _open_groups(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(queries: DataFrame, members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Verified links of queries(g, sig) with members(g, sig)."""
-    own = sets.select("sig", "tokens")
-    rows = (
-        members.select("g", "sig", F.lit(False).alias("query")).unionByName(queries.select("g", "sig", F.lit(True).alias("query")))
-        .join(own, "sig").select("g", "query", "sig", "tokens")
-    )
-    return rows.repartition(parts, "g").sortWithinPartitions("g", "query").mapInArrow(_open_groups, "a long, b long")
+def _allowed(batches):
+    """(sig, g) of pairs whose sketches leave room for a link."""
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("n", "sketch", "other_n", "other_sketch")]
+        use = [100 * min(n, m) >= PERCENT * max(n, m) and sketches_allow(n, a, m, b) for n, a, m, b in zip(*columns)]
+        yield batch.select(["sig", "g"]).filter(pa.array(use, pa.bool_()))
+
+
+def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """pairs(sig, other, g) as (sig, g), without what sketches rule out."""
+    other = marks.select(F.col("sig").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
+    return pairs.join(marks, "sig").join(other, "other").select("sig", "g", "n", "sketch", "other_n", "other_sketch").mapInArrow(_allowed, "sig long, g long")
+
+
+def _links(queries: DataFrame, members: DataFrame, plain: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
+    """Verified links of queries(g, sig) with members(g, sig).
+
+    The sets are made anew from one document of each: chosen(sig, doc_id).
+    """
+    rows = members.select("g", "sig", F.lit(False).alias("query")).unionByName(queries.select("g", "sig", F.lit(True).alias("query")))
+    ids = rows.select("sig").distinct().join(chosen, "sig").where("doc_id is not null").select("doc_id").distinct()
+    few = ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    again = plain.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(plain.where("doc_id is null"))
+    sets = again.select("text").mapInArrow(_pack_sets, "sig long, n long, tokens binary").select("sig", "tokens")
+    full = rows.join(sets, "sig").select("g", "query", "sig", "tokens")
+    return full.repartition(parts, "g").sortWithinPartitions("g", "query").mapInArrow(_open_groups, "a long, b long")
 
 
 def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -267,7 +319,7 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     stash = Stash(spark, "ngram")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    profile = stash.keep(plain.mapInArrow(_profile, "doc_id long, n long, s1 long, s2 long, common boolean"), "profile")
+    profile = stash.keep(plain.mapInArrow(_profile, "doc_id long, n long, s1 long, sketch binary, common boolean"), "profile")
     rows = profile.where("not common").select("doc_id", "n", "s1")
     common = (
         profile.where("common").groupBy("s1").agg(F.sum("n").alias("n")).where("n > 2")
@@ -287,23 +339,21 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         "cells",
     )
 
-    # Only sets that meet others are needed from here on; one document of each gives it.
-    met = cells.groupBy("sig").agg(F.lit(1).alias("met"))
-    chosen = rows.where("n > 0").groupBy(F.col("s1").alias("sig")).agg(F.min("doc_id").alias("doc_id")).join(met, "sig").select("doc_id").distinct()
-    sets = stash.keep(
-        plain.join(chosen, "doc_id", "left_semi").unionByName(plain.where("doc_id is null")).select("text")
-        .mapInArrow(_pack_sets, "sig long, n long, tokens binary"),
-        "sets",
-    )
-    names = sets.select("sig").distinct()
+    # One document stands for each set that meets others.
+    met = cells.select("sig").distinct()
+    of_met = profile.where("not common and n > 0").withColumnRenamed("s1", "sig").join(met, "sig")
+    marks = stash.keep(of_met.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "marks")
+    chosen, sketch = marks.select("sig", "doc_id"), marks.select("sig", "n", "sketch")
 
-    star = cells.where("sig <> pivot").select(F.col("pivot").alias("g"), "sig").distinct()
-    first = stash.keep(_links(star, star.select("g", F.col("g").alias("sig")).distinct(), sets, width), "first")
+    star = cells.where("sig <> pivot").select("sig", F.col("pivot").alias("other"), F.col("pivot").alias("g")).distinct()
+    star = stash.keep(_sketched(star, sketch), "star")
+    first = stash.keep(_links(star, star.select("g", F.col("g").alias("sig")).distinct(), plain, chosen, width), "first")
     groups = stash.keep(components(first, stash, "group"), "groups")
 
-    grouped = cells.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("g"))
-    grouped = stash.keep(grouped.distinct(), "grouped")
-    sizes = names.join(groups.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("g")).agg(F.count("*").alias("members"))
+    in_group = groups.withColumnRenamed("node", "sig")
+    grouped = stash.keep(cells.join(in_group, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("g")).distinct(), "grouped")
+    of_group = stash.keep(marks.join(in_group, "sig", "left").select("sig", F.coalesce("root", "sig").alias("g")), "of_group")
+    sizes = of_group.groupBy("g").agg(F.count("*").alias("members"))
     in_cell = grouped.select("cell", "g").distinct().join(sizes, "g")
     several = in_cell.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("members", "g"))).alias("gs")).where("size(gs) > 1")
     meets = (
@@ -311,17 +361,17 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .select("sig", "g", F.explode("gs").alias("other"))
         .join(sizes.withColumnRenamed("members", "own"), "g")
         .where("struct(other.members, other.g) > struct(own, g)")
-        .select("sig", F.col("other.g").alias("to"), F.col("other.members").alias("members")).distinct()
+        .select("sig", F.col("other.g").alias("g"), F.col("other.members").alias("members")).distinct()
     )
     meets = stash.keep(meets, "meets")
-    parts = lambda n: F.ceil(F.col(n) / PART).cast("int")
-    queries = meets.select("sig", F.explode(F.sequence(F.lit(0), parts("members") - 1)).alias("part"), "to")
-    queries = queries.select(F.struct("to", "part").alias("g"), "sig")
-    targets = meets.select("to", "members").distinct()
-    of_group = names.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("to"))
-    members = of_group.join(targets, "to").select(F.struct("to", F.pmod(F.xxhash64("sig"), parts("members")).cast("int").alias("part")).alias("g"), "sig")
-    second = _links(queries.withColumn("g", F.xxhash64("g")), members.withColumn("g", F.xxhash64("g")), sets, width)
-    second = stash.keep(second, "second")
+    small = meets.where(F.col("members") <= SKETCHED).select("sig", "g")
+    small = _sketched(small.join(of_group.withColumnRenamed("sig", "other"), "g"), sketch).distinct()
+    left = stash.keep(small.unionByName(meets.where(F.col("members") > SKETCHED).select("sig", "g")).join(sizes, "g"), "left")
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    queries = left.select("sig", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    members = of_group.join(left.select("g", "members").distinct(), "g").select("sig", "g", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"))
+    part = F.xxhash64("g", "part").alias("g")
+    second = stash.keep(_links(queries.select(part, "sig"), members.select(part, "sig"), plain, chosen, width), "second")
     known = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = stash.keep(components(known, stash, "class"), "final")
 
