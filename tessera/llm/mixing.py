@@ -29,7 +29,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
 #: Documents aimed at in one range of a source's keys.
-RANGE = 20_000
+RANGE = 1_000
 #: Sources up to which their table is broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
