@@ -63,9 +63,9 @@ def information_value(df: DataFrame, columns: Sequence[str], target: str, positi
     parts = [F.struct(F.lit(c).alias("colName"), bucket(c, cuts).alias("bucket"), F.col(c).isNull().alias("gone")) for c, cuts in zip(columns, edges)]
     stacked = df.select(F.when(F.col(target) == F.lit(positive), 1).otherwise(0).alias("good"), F.explode(F.array(*parts)).alias("b"))
     counts = stacked.where(~F.col("b.gone")).groupBy("b.colName", "b.bucket").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
-    totals = counts.groupBy("colName").agg(F.sum("g").alias("G"), F.sum("b").alias("B"))
+    totals = counts.groupBy("colName").agg(F.sum("g").alias("g_all"), F.sum("b").alias("b_all"))
     one = lambda c: F.when(F.col(c) == 0, F.lit(1)).otherwise(F.col(c))
-    rated = counts.join(totals, "colName").select("colName", (one("g") / one("G")).alias("pg"), (one("b") / one("B")).alias("pb"))
+    rated = counts.join(totals, "colName").select("colName", (one("g") / one("g_all")).alias("pg"), (one("b") / one("b_all")).alias("pb"))
     return rated.groupBy("colName").agg(F.sum((F.col("pg") - F.col("pb")) * F.log(F.col("pg") / F.col("pb"))).alias("statistic"))
 
 
