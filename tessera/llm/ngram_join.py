@@ -341,8 +341,8 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     # One document stands for each set that meets others.
     met = cells.select("sig").distinct()
-    of_met = profile.where("not common and n > 0").withColumnRenamed("s1", "sig").join(met, "sig")
-    marks = stash.keep(of_met.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "marks")
+    by_sig = profile.where("not common and n > 0").groupBy(F.col("s1").alias("sig"))
+    marks = stash.keep(by_sig.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(met, "sig"), "marks")
     chosen, sketch = marks.select("sig", "doc_id"), marks.select("sig", "n", "sketch")
 
     star = cells.where("sig <> pivot").select("sig", F.col("pivot").alias("other"), F.col("pivot").alias("g")).distinct()
