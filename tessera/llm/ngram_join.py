@@ -54,6 +54,8 @@ PERCENT = 80
 COMMON = 1 << 18
 #: Postings aimed at in one bucket and members in one part of a group.
 BUCKET, PART = 500_000, 128
+#: Shingles in which repeats are counted at once; it bounds memory and shapes the order alone.
+RUN = 1_500_000
 #: Members up to which a group is first compared by sketches.
 SKETCHED = 8
 #: Documents up to which the list of those to read again is broadcast, 8 bytes each.
@@ -141,7 +143,7 @@ def _profile(batches):
             held += len(h)
         n, s1 = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, signs))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1), pa.array(marks, pa.binary()), pa.array(np.zeros(len(n), bool))], names)
-        if held > 4_000_000:
+        if held > RUN:
             yield repeated()
             pending, held = [], 0
     if pending:
@@ -374,6 +376,7 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     second = stash.keep(_links(queries.select(part, "sig"), members.select(part, "sig"), plain, chosen, width), "second")
     known = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = stash.keep(components(known, stash, "class"), "final")
+    stash.drop("cells", "marks", "star", "first", "groups", "grouped", "of_group", "meets", "left", "second")
 
     by_set = rows.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("least"))
     reached = final.join(by_set, "node")

@@ -1,11 +1,15 @@
 """Written tables that cut lineage, kept in the folder the cluster shares.
 
 The folder is the one Spark was given in ``spark.checkpoint.dir``. A folder of
-our own is set only where that setting is missing, as in local tests.
+our own is set only where that setting is missing, as in local tests. Results
+may read their tables as long as the driver runs; ``clear`` and the driver's
+end delete them.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -23,12 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_stashes: list[Stash] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables; results that still read them can't be computed again."""
+    while _stashes:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _stashes.pop().drop("")
+
+
 class Stash:
     """A set of intermediate tables of one operator call."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+        _stashes.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it again with the same schema."""
@@ -36,9 +52,9 @@ class Stash:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete one table once nothing lazy reads it any more."""
+    def drop(self, *names: str) -> None:
+        """Delete tables once nothing lazy reads them any more."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
