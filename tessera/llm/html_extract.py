@@ -30,8 +30,12 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .stash import Stash
+
 #: Pages aimed at in one group of a host.
 GROUP = 64
+#: Hosts of more than one group up to which their list is broadcast; more are joined by shuffle.
+BROADCAST_HOSTS = 500_000
 #: A class needs so many pages with different articles, and this share of them.
 MIN_PAGES, MIN_SHARE = 4, 0.9
 
@@ -222,7 +226,13 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     """(page_id, url, text) of every page."""
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
+    stash = Stash(pages.sparkSession, "hosts")
     counts = own.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    dealt = own.withColumn("host", host).join(counts, "host")
+    large = stash.keep(counts.where("groups > 1"), "large")
+    few = large.count() <= BROADCAST_HOSTS
+    dealt = own.withColumn("host", host).join(F.broadcast(large) if few else large, "host", "left")
     part = F.when(F.col("groups") > 1, F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).otherwise(F.lit(0)).alias("part")
-    return dealt.select("host", part, "page_id", "url", "html").groupBy("host", "part").applyInArrow(_extract, "page_id long, url string, text string")
+    return (
+        dealt.select("host", part, "page_id", "url", "html").repartition("host", "part")
+        .groupBy("host", "part").applyInArrow(_extract, "page_id long, url string, text string")
+    )
