@@ -64,6 +64,27 @@ select doc_id, size, source_size, target,
 from placed
 """
 
+OP4 = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as words from documents
+), s as (
+  select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from d where len(words) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)
+), reach as (
+  select doc_id, doc_id as other from d
+  union
+  select r.doc_id, l.b from reach r join links l on l.a = r.other
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.component_id
+from d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
+"""
+
 OP7 = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
@@ -123,4 +144,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_chat_formatting": OP2, "op3_mixing": OP3, "op7_benchmark_decontamination": OP7, "op8_quality_rules": OP8}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_chat_formatting": OP2, "op3_mixing": OP3, "op4_ngram_jaccard_join": OP4, "op7_benchmark_decontamination": OP7, "op8_quality_rules": OP8}
