@@ -173,16 +173,9 @@ def _bins_function(ctx, path, name, o):
     """SQL function from an array of texts to an array of bins."""
     bins = scoring.load_bins(ctx.spark, path)
 
-    def place(b, value):
-        if value is None:
-            return None
-        if b.edges is not None:
-            return float(sum(float(value) >= e for e in b.edges))
-        return float(b.categories.index(value)) if value in b.categories else None
-
     @F.pandas_udf("array<double>")
     def find(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [place(b, v) for b, v in zip(bins, r)] for r in rows])
+        return pd.Series([None if r is None else [b.place(v) for b, v in zip(bins, r)] for r in rows])
 
     ctx.spark.udf.register(name, find)
 
@@ -198,16 +191,38 @@ def _binning(ctx, df, path, o):
     return scoring.binning_info(scoring.woe_table(df, bins, o.get("label", "label"), int(good) if good.isdigit() else good, o.get("woeMethod", "ratio")))
 
 
-@operator("ScoreCard", Param("binningPath"), Param("scaledValue", "800"), Param("odds", "50"), Param("pdo", "25"), Param("goodValue", "1"), Param("label", "label"))
+def _predict_card(ctx, df, path, o):
+    return scoring.ScoreCard.load(ctx.spark, path).predict(df)
+
+
+def _card_function(ctx, path, name, o):
+    """SQL function from an array of texts, by feature, to a class."""
+    card = scoring.ScoreCard.load(ctx.spark, path)
+
+    @F.pandas_udf("double")
+    def classify(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            total = card.intercept
+            for b, v in zip(card.bins, r if r is not None else []):
+                k = b.place(v)
+                total += card.coefficients[b.feature] * (card.weights[b.feature][k] if k is not None else 0.0)
+            out.append(float(total >= 0))
+        return pd.Series(out)
+
+    ctx.spark.udf.register(name, classify)
+
+
+@operator("ScoreCard", Param("binningPath"), Param("scaledValue", "800"), Param("odds", "50"), Param("pdo", "25"), Param("goodValue", "1"), Param("label", "label"), predict=_predict_card, function=_card_function)
 def _score_card(ctx, df, path, o):
     """Scores from bins."""
     bins = scoring.load_bins(ctx.spark, o["binningPath"])
-    good = int(o["goodValue"]) if o.get("goodValue", "1").isdigit() and "goodValue" in o else o.get("goodValue", 1)
-    scale = {"scaled_value": float(o.get("scaledValue", 800)), "odds": float(o.get("odds", 50)), "pdo": float(o.get("pdo", 25))}
-    model, predict = scoring.fit_score_card(df, bins, scoring.woe_table(df, bins, o.get("label", "label"), good), o.get("label", "label"), good, **scale)
+    good, label = o.get("goodValue", "1"), o.get("label", "label")
+    good = int(good) if good.isdigit() else good
+    card = scoring.fit_score_card(df, bins, scoring.woe_table(df, bins, label, good), label, good, float(o.get("scaledValue", 800)), float(o.get("odds", 50)), float(o.get("pdo", 25)))
     if path:
-        model.write().overwrite().save(f"{path}/scorecard")
-    return predict(df)
+        card.save(ctx.spark, path)
+    return card.predict(df)
 
 
 @operator("PSI", Param("expectedTable"), Param("actualTable"), Param("binningPath"))

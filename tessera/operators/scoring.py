@@ -33,6 +33,14 @@ class Bins:
         place = F.array_position(F.array(*[F.lit(c) for c in self.categories]), F.col(self.feature).cast("string")).cast("int")
         return F.when(place > 0, place - 1)
 
+    def place(self, value) -> int | None:
+        """Bin of one value, as ``index`` gives it."""
+        if value is None:
+            return None
+        if self.edges is not None:
+            return sum(float(value) >= e for e in self.edges)
+        return self.categories.index(str(value)) if str(value) in self.categories else None
+
     def label(self, k: int) -> str:
         if self.edges is None:
             return f"[{self.categories[k]}]"
@@ -126,31 +134,54 @@ def card_score(p_good: Column, scaled_value: float = 800, odds: float = 50, pdo:
     return F.lit(scaled_value - factor * math.log(odds)) + F.lit(factor) * F.log(p_good / (1 - p_good))
 
 
-def fit_score_card(df: DataFrame, bins: Sequence[Bins], table: DataFrame, label: str = "label", good=1, **scale):
-    """A logistic model over weights of evidence: (model, function from a frame to one with ``predictedScore``)."""
-    from pyspark.ml import Pipeline
+@dataclass
+class ScoreCard:
+    """A fitted card: bins, weights of evidence by bin, the logistic model over them, and the scale."""
+
+    bins: list[Bins]
+    weights: dict[str, list[float]]
+    coefficients: dict[str, float]
+    intercept: float
+    scale: dict[str, float]
+
+    def log_odds(self) -> Column:
+        """ln(p_good / p_bad) of a row; a value without a bin weighs nothing."""
+        total = F.lit(self.intercept)
+        for b in self.bins:
+            weights = F.array(*[F.lit(float(x)) for x in self.weights[b.feature]])
+            total = total + F.lit(self.coefficients[b.feature]) * F.coalesce(F.get(weights, b.index()), F.lit(0.0))
+        return total
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability`` of good, ``prediction`` and ``predictedScore``."""
+        p = 1 / (1 + F.exp(-self.log_odds()))
+        return df.withColumns({"probability": p, "prediction": (p >= 0.5).cast("double"), "predictedScore": card_score(p, **self.scale)})
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        body = {"bins": [vars(b) for b in self.bins], "weights": self.weights, "coefficients": self.coefficients, "intercept": self.intercept, "scale": self.scale}
+        spark.createDataFrame([(json.dumps(body),)], "card string").coalesce(1).write.mode("overwrite").parquet(f"{path}/scorecard")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ScoreCard:
+        body = json.loads(spark.read.parquet(f"{path}/scorecard").first()[0])
+        return cls([Bins(**b) for b in body["bins"]], body["weights"], body["coefficients"], body["intercept"], body["scale"])
+
+
+def fit_score_card(df: DataFrame, bins: Sequence[Bins], table: DataFrame, label: str = "label", good=1, scaled_value: float = 800, odds: float = 50, pdo: float = 25) -> ScoreCard:
+    """A logistic model over the weights of evidence of ``table``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     weights: dict[str, list[float]] = {b.feature: [0.0] * b.count for b in bins}
     for r in table.select("feature", "bin_id", "woe").collect():
         weights[r["feature"]][r["bin_id"]] = r["woe"]
-
-    def as_weights(frame: DataFrame) -> DataFrame:
-        own = {f"__w{k}": F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in weights[b.feature]]), b.index()), F.lit(0.0)) for k, b in enumerate(bins)}
-        return frame.withColumns(own)
-
-    fitted = as_weights(df).withColumn("__label", F.coalesce(F.col(label).try_cast("double") == float(good) if isinstance(good, (int, float)) else F.col(label).cast("string") == good, F.lit(False)).cast("double"))
-    names = [f"__w{k}" for k in range(len(bins))]
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__features"), LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__prediction")]).fit(fitted)
-
-    def predict(frame: DataFrame) -> DataFrame:
-        out = model.transform(as_weights(frame))
-        scored = out.withColumn("predictedScore", card_score(F.get(vector_to_array("__p"), F.lit(1)), **scale)).withColumn("prediction", F.col("__prediction"))
-        return scored.drop(*names, "__features", "__p", "__raw", "__prediction")
-
-    return model, predict
+    own = [F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in weights[b.feature]]), b.index()), F.lit(0.0)).alias(f"w{k}") for k, b in enumerate(bins)]
+    same = F.col(label).try_cast("double") == float(good) if isinstance(good, (int, float)) else F.col(label).cast("string") == good
+    rows = df.select(*own, F.coalesce(same, F.lit(False)).cast("double").alias("label"))
+    vectors = VectorAssembler(inputCols=[f"w{k}" for k in range(len(bins))], outputCol="features").transform(rows)
+    model = LogisticRegression(featuresCol="features", labelCol="label").fit(vectors)
+    coefficients = {b.feature: float(c) for b, c in zip(bins, model.coefficients)}
+    return ScoreCard(list(bins), weights, coefficients, float(model.intercept), {"scaled_value": scaled_value, "odds": odds, "pdo": pdo})
 
 
 def population_stability(expected: DataFrame, actual: DataFrame, bins: Sequence[Bins], smoothing: float = 0.0) -> DataFrame:

@@ -295,8 +295,8 @@ def scorecard_points(spark, sf_dir):
 def scorecard_model(spark, sf_dir):
     df = _scored(spark, sf_dir)
     bins = scoring.fit_bins(df, ["l_extendedprice", "l_quantity"], "EF", 5)
-    _, predict = scoring.fit_score_card(df, bins, scoring.woe_table(df, bins))
-    return predict(df).select("label", F.round("predictedScore", 4).alias("score")).groupBy("label", "score").agg(F.count("*").alias("n"))
+    card = scoring.fit_score_card(df, bins, scoring.woe_table(df, bins))
+    return card.predict(df).select("label", F.round("predictedScore", 4).alias("score")).groupBy("label", "score").agg(F.count("*").alias("n"))
 
 
 @query("""select o_custkey, sum(o_totalprice) filter (o_orderstatus = 'F') as F, sum(o_totalprice) filter (o_orderstatus = 'O') as O from (select o_custkey, o_orderstatus, round(o_totalprice) as o_totalprice from orders) group by o_custkey""")

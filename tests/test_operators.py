@@ -35,10 +35,13 @@ def test_stability_of_a_table_with_itself(scores):
     assert {r["psi"] for r in scoring.population_stability(scores, scores, bins).collect()} == {0.0}
 
 
-def test_score_card_scores(scores):
+def test_score_card_scores(spark, scores, tmp_path):
     bins = scoring.fit_bins(scores, ["age", "income"], "EF", 2)
-    _, predict = scoring.fit_score_card(scores, bins, scoring.woe_table(scores, bins, smoothing=0.5))
-    assert predict(scores).where("predictedScore is null").count() == 0
+    card = scoring.fit_score_card(scores, bins, scoring.woe_table(scores, bins, smoothing=0.5), pdo=20)
+    out = card.predict(scores)
+    assert out.where("predictedScore is null or probability not between 0 and 1").count() == 0
+    card.save(spark, str(tmp_path))
+    assert scoring.ScoreCard.load(spark, str(tmp_path)).predict(scores).collect() == out.collect()
 
 
 def test_identifiers(spark):

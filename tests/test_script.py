@@ -6,6 +6,7 @@ from tessera.admin.suggest import suggest
 from tessera.context import ScriptContext, expand_include
 from tessera.operators.asserts import AssertionFailed
 from tessera.registry import COMMANDS, OPERATORS
+from tessera.script import hints
 from tessera.script.parser import ScriptError, expand_command, parse, split_statements
 
 
@@ -117,6 +118,10 @@ def test_binning_and_models(ctx, tmp_path):
     assert "age_output" in ctx.run(f"predict more as Binning.`{tmp_path}/b` as placed;").columns
     ctx.run(f"register Binning.`{tmp_path}/b` as place;")
     assert ctx.run("select place(array('57')) as p as t;").first()[0] == [1.0]
+    ctx.run(f"run more as ScoreCard.`{tmp_path}/c` where binningPath=\"{tmp_path}/b\" as scored; register ScoreCard.`{tmp_path}/c` as grade;")
+    assert ctx.table("scored").where("predictedScore is null").count() == 0
+    assert ctx.run(f"predict more as ScoreCard.`{tmp_path}/c` as again;").collect() == ctx.table("scored").collect()
+    assert ctx.run("select grade(array('57')) as g as t;").first()[0] in (0.0, 1.0)
     ctx.run("select array(cast(age as double)) as features, label from more as vectors;")
     report = ctx.run(f"train vectors as XGBoostClassifier.`{tmp_path}/m` where fitParam.0.maxDepth=\"2\" and fitParam.1.maxDepth=\"99\" and evaluateTable=\"vectors\" as report;")
     assert [r["status"] for r in report.orderBy("algIndex").collect()] == ["success", "fail"]
@@ -177,6 +182,16 @@ def test_includes():
     assert not expand_include("include lib.`a`;", lambda k, p: "include lib.`a`;")["success"]
 
 
+def test_python_cells(spark, ctx):
+    cell = "#%input=ten\n#%output=twice\n#%schema=id long\ndef run(batches):\n    for b in batches:\n        yield b * 2\n"
+    assert hints.read_hints(cell)[0] == {"input": "ten", "output": "twice", "schema": "id long"}
+    open_ctx = ScriptContext(spark, allow_shell=True)
+    spark.range(10).createOrReplaceTempView("ten")
+    assert sorted(r[0] for r in hints.run_python_cell(open_ctx, cell).collect()) == list(range(0, 20, 2))
+    with pytest.raises(PermissionError):
+        hints.run_python_cell(ctx, cell)
+
+
 def test_error_texts():
     r = Renderer([(r"parser error in .*?", "parser error")])
     assert r.format(ValueError("a parser error in line 3")) == "parser error" and r.format(ValueError("x")) == "x" and r.matches(ValueError("parser error in 3"))
