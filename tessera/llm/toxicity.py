@@ -13,7 +13,7 @@ labelled rows of both kinds the score is the share of toxic labels, or 0.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ SWAPS = {term: tuple(t for t in kind if t != term) for kind in IDENTITY_TERMS fo
 #: Beginnings of words that are features beside the words themselves.
 BEGINNINGS = (4, 5, 6, 7)
 MIN_TEXTS, MAX_FEATURES = 4, 4096
+#: Slots in which features are counted; two features of one slot share a weight.
+SLOTS = 1 << 22
 RIDGE, SWAP_PENALTY, STEPS = 2e-4, 1.0, 300
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,6 +59,11 @@ def swapped(found: set[str]) -> set[str] | None:
     return (found - drop) | other | {"^" + t[:n] for t in other for n in BEGINNINGS if len(t) > n}
 
 
+def _slots(found: set[str]) -> np.ndarray:
+    """Distinct slots of features, sorted."""
+    return np.unique(np.fromiter((zlib.crc32(f.encode()) % SLOTS for f in found), np.int32, len(found)))
+
+
 class Toxicity:
     """Weights by feature and a bias."""
 
@@ -75,35 +82,43 @@ class Toxicity:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], penalty: float = SWAP_PENALTY, steps: int = STEPS) -> Toxicity:
-        sets = [features(t) for t, _ in rows]
         y = np.array([label for _, label in rows], float)
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.0
             return cls({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
         n, n1 = len(y), y.sum()
-        df, df1 = Counter(), Counter()
-        for s, label in zip(sets, y):
-            df.update(s)
+        # Features are counted by slot, so that no text's features are held as strings.
+        slots, swaps = [], {}
+        df, df1 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        for r, (text, label) in enumerate(rows):
+            found = features(text)
+            slots.append(_slots(found))
+            df[slots[r]] += 1
             if label:
-                df1.update(s)
-        # Features by how far their toxic texts lie from what their number lets expect.
-        gain = {f: abs(df1[f] - k * n1 / n) / np.sqrt(k * (n1 / n) * (1 - n1 / n)) for f, k in df.items() if k >= MIN_TEXTS}
-        chosen = sorted(gain, key=lambda f: (-gain[f], f))[:MAX_FEATURES]
-        place = {f: k for k, f in enumerate(chosen)}
-
-        def matrix(found: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-            rows_, cols = [], []
-            for r, s in enumerate(found):
-                own = [place[f] for f in s if f in place]
-                rows_ += [r] * len(own)
-                cols += own
-            return np.array(rows_, np.int64), np.array(cols, np.int64)
-
-        other = [(r, swapped(s)) for r, s in enumerate(sets)]
-        pairs = [r for r, s in other if s is not None]
-        r0, c0 = matrix(sets)
-        r1, c1 = matrix([s for _, s in other if s is not None])
-        ra, ca = matrix([sets[r] for r in pairs])
+                df1[slots[r]] += 1
+            if (other := swapped(found)) is not None:
+                swaps[r] = _slots(other)
+        # The slots whose toxic texts lie farthest from what their number lets expect.
+        known = np.flatnonzero(df >= MIN_TEXTS)
+        k = df[known]
+        gain = np.abs(df1[known] - k * n1 / n) / np.sqrt(k * (n1 / n) * (1 - n1 / n))
+        chosen = known[np.lexsort((known, -gain))[:MAX_FEATURES]]
+        place = np.full(SLOTS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        names: dict[str, int] = {}
+        for text, _ in rows:
+            for f in features(text):
+                if (at := place[zlib.crc32(f.encode()) % SLOTS]) >= 0:
+                    names[f] = int(at)
+
+        def matrix(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            cols = [c[c >= 0] for c in (place[x] for x in found)]
+            return np.repeat(np.arange(len(found)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int32)
+
+        pairs = list(swaps)
+        r0, c0 = matrix(slots)
+        r1, c1 = matrix(list(swaps.values()))
+        ra, ca = matrix([slots[r] for r in pairs])
         w, b = np.zeros(len(chosen)), float(np.log(n1 / (n - n1)))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, steps + 1):
@@ -119,7 +134,7 @@ class Toxicity:
             rate = 0.1 / (1 + t / 60)
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-        return cls({f: float(x) for f, x in zip(chosen, w) if x}, float(b))
+        return cls({f: float(w[at]) for f, at in names.items() if w[at]}, float(b))
 
 
 def _score(shipped):
