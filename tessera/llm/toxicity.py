@@ -115,6 +115,8 @@ class Toxicity:
             cols = [c[c >= 0] for c in (place[x] for x in found)]
             return np.repeat(np.arange(len(found)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int32)
 
+        # The rarer kind counts by the root of how much rarer it is.
+        weight = np.where(y == 1, max(1.0, np.sqrt((n - n1) / n1)), max(1.0, np.sqrt(n1 / (n - n1))))
         pairs = list(swaps)
         r0, c0 = matrix(slots)
         r1, c1 = matrix(list(swaps.values()))
@@ -123,7 +125,7 @@ class Toxicity:
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, steps + 1):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(r0, w[c0], n) + b, -40, 40)))
-            err = (p - y) / n
+            err = (p - y) * weight / n
             g = np.bincount(c0, err[r0], len(w)) + RIDGE * w
             if pairs and penalty:
                 change = np.bincount(ra, w[ca], len(pairs)) - np.bincount(r1, w[c1], len(pairs))
