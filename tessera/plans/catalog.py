@@ -453,3 +453,94 @@ _DOT = "list_cosine_similarity(q.embedding::double[], e.embedding::double[])"
 def cosine_topk(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
     return retrieval.cosine_topk(df.where("vec_id % 20 = 0"), df, k=5, places=4)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share, for queries that write and read again."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    return f"{root.rstrip('/')}/catalog-{name}-{uuid.uuid4().hex}"
+
+
+def _round_trip(fmt: str, where: str = "") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..context import ScriptContext
+
+        path, ctx = _scratch(spark, fmt), ScriptContext(spark)
+        ctx.publish(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "round_trip_in")
+        ctx.run(f"save overwrite round_trip_in as {fmt}.`{path}` {where}; load {fmt}.`{path}` {where} as round_trip_out;")
+        return ctx.run("select cast(n_nationkey as bigint) as k, n_name as name from round_trip_out as round_trip_out2;")
+
+    return run
+
+
+for _fmt, _where in (("csv", 'where header="true"'), ("json", ""), ("parquet", ""), ("orc", ""), ("delta", "")):
+    QUERIES[f"source_{_fmt}"], ORACLES[f"source_{_fmt}"] = _round_trip(_fmt, _where), "select n_nationkey::bigint as k, n_name as name from nation"
+
+
+@query("select c_custkey, c_mktsegment from customer")
+def save_then_load(spark, sf_dir):
+    from ..streaming.versioned import save_then_load as cut
+
+    return cut(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), _scratch(spark, "cut"))
+
+
+@query("select s_suppkey, s_acctbal from supplier where s_acctbal >= 0 union all select s_suppkey + 1000000, s_acctbal from supplier where s_acctbal >= 0")
+def versioned_table(spark, sf_dir):
+    from ..streaming.versioned import VersionedTable
+
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    own = VersionedTable(spark, _scratch(spark, "versions"))
+    own.write(rows)
+    own.write(rows.withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000), "append")
+    own.delete("s_acctbal < 0")
+    return own.read()
+
+
+@query("""select user_id as k, arg_max(printf('%012d', event_id), (floor(epoch(ts))::bigint, event_id)) as v from events where event_type <> (select min(event_type) from events) group by user_id""")
+def cdc_stream(spark, sf_dir):
+    """Change events as files, streamed into a versioned table."""
+    from ..streaming.versioned import VersionedTable
+
+    changes = _changes(spark, sf_dir).where("type = 'UPDATE'")
+    event = F.to_json(F.struct(F.lit("db").alias("database"), F.lit("t").alias("table"), "type", "ts", "data"))
+    path = _scratch(spark, "stream")
+    changes.select(event.alias("value")).write.text(f"{path}/in")
+    target = VersionedTable(spark, f"{path}/t")
+    target.write(spark.createDataFrame([], "k long, v string"))
+    cdc.stream_into(spark.readStream.text(f"{path}/in"), target.path, "db.t", ["k"], f"{path}/checkpoint").awaitTermination()
+    return target.read().select("k", "v")
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+def stream_files(spark, sf_dir):
+    """The tumbling window over events that arrive as files, with a watermark, a file a batch."""
+    path = _scratch(spark, "windows")
+    events = table(spark, sf_dir, "events")
+    events.repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = windows.tumbling(stream, "ts", "1 day", "value", "event_type", lateness="40 days")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    out.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _rounded(spark.read.parquet(f"{path}/out"), 2, "total").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("select 'o_totalprice' as \"columnName\", round(max(o_totalprice), 2) as \"max\", count(*) as n from orders")
+def script_summary(spark, sf_dir):
+    """A script: load, select, run and commands."""
+    from ..context import ScriptContext
+
+    ctx = ScriptContext(spark)
+    return ctx.run(f"""
+        set floor="0";
+        load parquet.`{sf_dir}/orders.parquet` as script_orders;
+        !assertCondition script_orders 'o_totalprice > 0';
+        select o_totalprice from script_orders where o_totalprice > ${{floor}} as script_prices;
+        run script_prices as DataSummary.`` where metrics="max,totalCount" and approxThreshold="-1" as script_profile;
+        select columnName, round(cast(max as double), 2) as max, cast(totalCount as bigint) as n from script_profile as script_out;
+    """)

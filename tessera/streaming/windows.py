@@ -19,7 +19,8 @@ def session(df: DataFrame, ts: str, gap: str, value: str, *keys: str, lateness:
 
 
 def _windowed(df, window, ts, value, keys, lateness) -> DataFrame:
-    df = df.withWatermark(ts, lateness) if lateness else df
+    if lateness:  # watermarks are of instants; local times count in the session's zone
+        df = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     grouped = df.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
