@@ -13,8 +13,8 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """At most ``rows`` pairs (text, label), in a fixed order; the rest of the work sees all rows.
+def sample_frame(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``rows`` rows (doc_id, text, label) to learn from; the rest of the work sees all rows.
 
     Rows without a label, a doc_id or a text are left out here alone.
     """
@@ -24,5 +24,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     )
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").collect()
+    return texts.join(F.broadcast(known), "doc_id")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = MAX_ROWS) -> list[tuple[str, int]]:
+    """The rows of ``sample_frame`` as pairs (text, label), in a fixed order."""
+    found = sample_frame(docs, labels, label, folds, fold, rows).collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["label"], r["text"]))]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
-from .labelled import held_out, sample
+from .labelled import held_out, sample_frame
 
 FOLDS, FOLD = 3, 1
 RIDGE, STEPS = 1e-3, 200
@@ -145,31 +145,32 @@ class LineField:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], steps: int = STEPS) -> LineField:
+        """From texts and labels."""
+        texts = pa.array([t for t, _ in rows], pa.large_string())
+        return cls.fit_measures(measured_texts(texts), [label for _, label in rows], steps)
+
+    @classmethod
+    def fit_measures(cls, documents: list[np.ndarray], labels: list[int], steps: int = STEPS) -> LineField:
+        """From the lines' measures and sizes of each document (see ``measured_texts``) and labels."""
         d = 3 * len(MEASURES) + 3
-        y = np.array([label for _, label in rows], float)
+        y = np.array(labels, float)
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.5
             return cls(np.zeros(d), np.zeros((2, 2)), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-        texts = pa.array([t for t, _ in rows], pa.large_string())
-        found, labels, pieces, at = [], [], [0], 0
-        for start, data, offsets in tv.blocks(texts):
-            own, _, first = line_measures(data, offsets)
-            found.append(with_neighbours(own, first))
-            for r, k in enumerate(np.diff(first)):
-                labels.append(np.full(k, y[start + r]))
-                pieces += [at + min(e, k) for e in range(PIECE, k + PIECE, PIECE)] if k else []
-                at += k
-        x, gold, cut = np.concatenate(found), np.concatenate(labels), np.array(pieces)
-        # Each kind counts alike, and a document by the square root of its lines.
-        share = np.array([1 / max(y.mean(), 1e-6) / 2 if g else 1 / max(1 - y.mean(), 1e-6) / 2 for g in gold])
+        length = np.array([len(x) for x in documents])
+        first = np.concatenate([[0], np.cumsum(length)])
+        lines = np.concatenate(documents)
+        x, size = with_neighbours(lines[:, :-1], first), lines[:, -1]
+        gold = np.repeat(y, length)
+        cut = np.array([0, *(lo + min(e, k) for lo, k in zip(first[:-1], length) for e in range(PIECE, k + PIECE, PIECE) if k)])
+        # Each kind of document counts alike.
+        share = np.where(gold == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         w, turn = np.zeros(d), np.zeros((2, 2))
         m, v = np.zeros(d + 4), np.zeros(d + 4)
         n = len(gold)
         inner = np.ones(n, bool)
         inner[cut[:-1]] = False
-        seen = np.zeros((2, 2))
-        for g in (0, 1):
-            seen[g, g] = (inner & (gold == g)).sum()
+        seen = np.diag([(inner & (gold == g)).sum() for g in (0, 1)]).astype(float)
         for t in range(1, steps + 1):
             good, turns = forward_backward(x @ w, cut, turn)
             g = np.concatenate([x.T @ ((good - gold) * share) / n + RIDGE * w, ((turns - seen) / n + RIDGE * turn).ravel()])
@@ -177,8 +178,9 @@ class LineField:
             move = 0.1 / (1 + t / 60) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w -= move[:d]
             turn = turn - move[d:].reshape(2, 2)
-        field = cls(w, turn, 1.0, 0.0)
-        shares = np.concatenate([field.shares(data, offsets) for _, data, offsets in tv.blocks(texts)]) - 0.5
+        good, _ = forward_backward(x @ w, first, turn)
+        total = tv.row_sums(size, first)
+        shares = np.where(total > 0, tv.row_sums(size * good, first) / np.maximum(total, 1), 0.5) - 0.5
         a, b = 4.0, 0.0
         for _ in range(50):  # Newton steps of the logistic step
             p = 1 / (1 + np.exp(-np.clip(b + a * shares, -40, 40)))
@@ -190,6 +192,31 @@ class LineField:
         return cls(w, turn, float(a), float(b))
 
 
+def measured_texts(texts: pa.Array) -> list[np.ndarray]:
+    """For each text one row a line: its measures and, last, its bytes."""
+    out = []
+    for _, data, offsets in tv.blocks(texts):
+        own, size, first = line_measures(data, offsets)
+        both = np.concatenate([own, size[:, None]], 1)
+        out += [both[lo:hi] for lo, hi in zip(first[:-1], first[1:])]
+    return out
+
+
+def _measured(batches):
+    for batch in batches:
+        blobs = [x.tobytes() for x in measured_texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("h"), pa.array(blobs, pa.binary())], ["doc_id", "label", "h", "lines"])
+
+
+def fit_field(docs: DataFrame, labels: DataFrame, label: str = "quality") -> LineField:
+    """A field fitted on the labels that are not held out. Texts are measured where they are; the driver reads measures."""
+    rows = sample_frame(docs, labels, label, FOLDS, FOLD).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", F.xxhash64("text").alias("h"))
+    found = rows.mapInArrow(_measured, "doc_id long, label int, h long, lines binary").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["label"], r["h"]))
+    width = len(MEASURES) + 1
+    return LineField.fit_measures([np.frombuffer(r["lines"], float).reshape(-1, width) for r in found], [r["label"] for r in found])
+
+
 def _score(shipped):
     def run(batches):
         field = shipped.value
@@ -218,11 +245,11 @@ def _keep_good(shipped):
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Rows of ``docs`` (with a string column ``text``) that the field predicts good, all columns as they are."""
-    field = LineField.fit(sample(docs, labels, label, FOLDS, FOLD))
+    field = fit_field(docs, labels, label)
     return docs.mapInArrow(_keep_good(docs.sparkSession.sparkContext.broadcast(field)), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted), the field fitted on labels that are not held out."""
-    field = LineField.fit(sample(docs, labels, label, FOLDS, FOLD))
+    field = fit_field(docs, labels, label)
     return score(docs, field).select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
