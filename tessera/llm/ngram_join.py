@@ -134,15 +134,13 @@ def _profile(batches):
         )
 
     for batch in batches:
-        sizes, signs, marks = [], [], []
-        for _, h, at, s1 in _sets(batch.column("text")):
-            sizes.append(np.diff(at))
-            signs.append(s1.view(np.int64))
-            marks += sketches(h, at)
+        for first, h, at, s1 in _sets(batch.column("text")):
+            n = np.diff(at)
             pending.append(h)
             held += len(h)
-        n, s1 = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, signs))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1), pa.array(marks, pa.binary()), pa.array(np.zeros(len(n), bool))], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(sketches(h, at), pa.binary()), pa.array(np.zeros(len(n), bool))], names
+            )
         if held > RUN:
             yield repeated()
             pending, held = [], 0
@@ -249,13 +247,9 @@ def _cells(table: pa.Table) -> pa.Table:
 def _pack_sets(batches):
     """(sig, n, tokens): the sets of documents, as bytes."""
     for batch in batches:
-        sigs, sizes, blobs = [], [], []
         for _, h, at, s1 in _sets(batch.column("text")):
-            sigs.append(s1.view(np.int64))
-            sizes.append(np.diff(at))
-            blobs += [h[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
-        if sigs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes)), pa.array(blobs, pa.binary())], ["sig", "n", "tokens"])
+            blobs = [h[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], ["sig", "n", "tokens"])
 
 
 def _open_groups(batches):

@@ -237,8 +237,9 @@ def score(docs: DataFrame, field: LineField, text: str = "text", doc_id: str = "
 def _keep_good(shipped):
     def run(batches):
         for batch in batches:
-            parts = [shipped.value.scores(data, offsets) for _, data, offsets in tv.blocks(batch.column("text").cast(pa.large_string()))]
-            yield batch.filter(pa.array(np.concatenate(parts) >= 0.5 if parts else np.zeros(0, bool)))
+            for first, data, offsets in tv.blocks(batch.column("text")):
+                good = shipped.value.scores(data, offsets) >= 0.5
+                yield batch.slice(first, len(good)).filter(pa.array(good))
 
     return run
 
