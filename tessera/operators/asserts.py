@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 class AssertionFailed(ValueError):
@@ -33,9 +33,13 @@ def conflicting_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def conflicting_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows whose composite key occurs twice or more; nulls equal each other."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*columns))
-    return df.withColumn("__n", n).where("__n > 1").drop("__n")
+    """Rows whose composite key occurs twice or more; nulls equal each other.
+
+    Keys are counted with partial sums and only those that repeat meet the rows
+    again, so a key that very many rows share makes no large window.
+    """
+    twice = df.groupBy(*columns).agg(F.count("*").alias("__n")).where("__n > 1").select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(columns)])
+    return df.join(twice, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(columns)], "left_semi")
 
 
 def require_condition(df: DataFrame, condition: str) -> None:

@@ -48,8 +48,8 @@ SHARED: dict[str, tuple[str, str]] = {
     "filtered_aggregates": ("orders", """
         select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus <> 'F') as other from orders group by o_orderpriority"""),
     "row_number_rank": ("orders", """
-        select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn,
-          rank() over (partition by o_custkey order by o_orderstatus) as rk, dense_rank() over (partition by o_custkey order by o_orderstatus) as dr from orders"""),
+        select o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as rn,
+          cast(rank() over (partition by o_custkey order by o_orderstatus) as bigint) as rk, cast(dense_rank() over (partition by o_custkey order by o_orderstatus) as bigint) as dr from orders"""),
     "lag_lead": ("events", """
         select event_id, lag(event_id) over (partition by user_id order by ts, event_id) as before, lead(event_id) over (partition by user_id order by ts, event_id) as after from events"""),
     "running_sum": ("orders", """
@@ -59,13 +59,13 @@ SHARED: dict[str, tuple[str, str]] = {
     "range_frame": ("lineitem", """
         select l_orderkey, l_linenumber, l_partkey, count(*) over (partition by l_suppkey order by l_quantity range between 2 preceding and 2 following) as near from lineitem"""),
     "ntile_percent": ("customer", """
-        select c_custkey, ntile(4) over (partition by c_mktsegment order by c_acctbal, c_custkey) as quarter,
+        select c_custkey, cast(ntile(4) over (partition by c_mktsegment order by c_acctbal, c_custkey) as bigint) as quarter,
           round(percent_rank() over (partition by c_mktsegment order by c_acctbal), 6) as pr, round(cume_dist() over (partition by c_mktsegment order by c_acctbal), 6) as cd from customer"""),
     "first_last_value": ("orders", """
         select o_orderkey, first_value(o_orderkey) over w as first_key, last_value(o_orderkey) over w as last_key from orders
         window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following)"""),
     "topk_per_group": ("orders", """
-        select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) x where rn <= 3"""),
+        select * from (select o_custkey, o_orderkey, o_totalprice, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as rn from orders) x where rn <= 3"""),
     "order_limit": ("lineitem", """
         select l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 25"""),
     "union_all": ("customer supplier", """
@@ -86,16 +86,16 @@ SHARED: dict[str, tuple[str, str]] = {
         select case when p_size < 10 then 'small' when p_size < 30 then 'middle' else 'large' end as kind, count(*) as n, min(p_retailprice) as lo from part
         group by case when p_size < 10 then 'small' when p_size < 30 then 'middle' else 'large' end"""),
     "null_logic": ("lineitem", """
-        select l_linenumber, count(nullif(l_discount, 0)) as discounted, sum(case when nullif(l_discount, 0) is null then 1 else 0 end) as plain,
+        select l_linenumber, count(nullif(l_discount, 0)) as discounted, cast(sum(case when nullif(l_discount, 0) is null then 1 else 0 end) as bigint) as plain,
           round(sum(coalesce(nullif(l_tax, 0), 1)), 4) as tax from lineitem group by l_linenumber"""),
     "string_functions": ("customer", """
-        select c_custkey, upper(c_name) as up, lower(c_mktsegment) as low, length(c_name) as n, substring(c_name, 1, 8) as head, trim(concat('  ', c_name, ' ')) as t,
+        select c_custkey, upper(c_name) as up, lower(c_mktsegment) as low, cast(length(c_name) as bigint) as n, substring(c_name, 1, 8) as head, trim(concat('  ', c_name, ' ')) as t,
           replace(c_name, '#', '-') as r, lpad(cast(c_custkey as varchar(20)), 8, '0') as padded, concat_ws('/', c_name, c_mktsegment) as both, reverse(c_mktsegment) as back from customer"""),
     "math_functions": ("lineitem", """
-        select l_orderkey, l_linenumber, l_partkey, round(sqrt(l_quantity), 6) as r, floor(l_extendedprice / 100) as f, abs(l_discount - l_tax) > 0.02 as far,
+        select l_orderkey, l_linenumber, l_partkey, round(sqrt(l_quantity), 6) as r, cast(floor(l_extendedprice / 100) as bigint) as f, abs(l_discount - l_tax) > 0.02 as far,
           round(ln(l_extendedprice), 6) as g, round(power(l_discount, 2), 6) as p, l_partkey % 7 as m from lineitem"""),
     "date_functions": ("orders", """
-        select o_orderkey, extract(year from o_orderdate) as y, extract(month from o_orderdate) as m, extract(day from o_orderdate) as d, date_trunc('month', o_orderdate) as first,
+        select o_orderkey, cast(extract(year from o_orderdate) as bigint) as y, cast(extract(month from o_orderdate) as bigint) as m, cast(extract(day from o_orderdate) as bigint) as d, cast(date_trunc('month', o_orderdate) as date) as first,
           cast(o_orderdate as date) as day from orders"""),
     "range_join": ("events", """
         select b.k, count(*) as n from (select 0.0 as lo, 100.0 as hi, 'a' as k union all select 100.0, 300.0, 'b' union all select 300.0, 500.0, 'c') b
@@ -131,17 +131,17 @@ SPELLED: dict[str, tuple[str, str, str]] = {
         select cast(get_json_object(props, '$.k') as bigint) as k, count(*) as n from events group by 1""", """
         select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1"""),
     "array_functions": ("documents", """
-        select doc_id, size(split(text, ' ')) as n, element_at(split(text, ' '), 1) as head, array_join(slice(split(text, ' '), 1, 3), '_') as three,
-          array_contains(split(text, ' '), 'the') as has_the, size(array_distinct(split(text, ' '))) as kinds from documents""", """
+        select doc_id, cast(size(split(text, ' ')) as bigint) as n, element_at(split(text, ' '), 1) as head, array_join(slice(split(text, ' '), 1, 3), '_') as three,
+          array_contains(split(text, ' '), 'the') as has_the, cast(size(array_distinct(split(text, ' '))) as bigint) as kinds from documents""", """
         select doc_id, len(string_split(text, ' ')) as n, string_split(text, ' ')[1] as head, array_to_string(string_split(text, ' ')[1:3], '_') as three,
           list_contains(string_split(text, ' '), 'the') as has_the, len(list_distinct(string_split(text, ' '))) as kinds from documents"""),
     "text_lengths": ("documents", """
-        select lang, count(*) as n, sum(length(text)) as chars, max(size(split(text, '\\n'))) as most_lines from documents group by lang""", """
+        select lang, count(*) as n, sum(length(text)) as chars, cast(max(size(split(text, '\\n'))) as bigint) as most_lines from documents group by lang""", """
         select lang, count(*) as n, cast(sum(length(text)) as bigint) as chars, max(len(string_split(text, chr(10)))) as most_lines from documents group by lang"""),
     "map_functions": ("orders", """
         select o_custkey, map_from_entries(array_sort(collect_list(struct(cast(o_orderkey as string), o_orderstatus))))[cast(max(o_orderkey) as string)] as last_status from orders group by o_custkey""", """
         select o_custkey, arg_max(o_orderstatus, o_orderkey) as last_status from orders group by o_custkey"""),
     "date_arithmetic": ("orders", """
-        select o_orderkey, date_add(cast(o_orderdate as date), 30) as due, datediff(date '1999-01-01', cast(o_orderdate as date)) as age from orders""", """
+        select o_orderkey, date_add(cast(o_orderdate as date), 30) as due, cast(datediff(date '1999-01-01', cast(o_orderdate as date)) as bigint) as age from orders""", """
         select o_orderkey, cast(o_orderdate as date) + 30 as due, date_diff('day', cast(o_orderdate as date), date '1999-01-01') as age from orders"""),
 }

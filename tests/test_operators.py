@@ -98,6 +98,8 @@ def test_asserts(spark):
     assert asserts.failing_not_null(df, ["k", "v"]).count() == 1
     assert [r[0] for r in asserts.conflicting_keys(df, ["k", "v"]).collect()] == ["k"]
     assert asserts.conflicting_rows(df, ["k"]).count() == 2
+    nulls = spark.createDataFrame([(None, 1), (None, 1), (1, None), (1, None), (1, 2)], "a int, b int")
+    assert asserts.conflicting_rows(nulls, ["a", "b"]).count() == 4
     asserts.require(df, ":k >= 1 && :k < 3", "no")
     for check in (
         lambda: asserts.require(df, ":k == 1", "not one"), lambda: asserts.require(df, ":z == 1", "x"), lambda: asserts.require_condition(df, "v is not null"),
