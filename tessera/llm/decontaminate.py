@@ -118,7 +118,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
         found = let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), _hits_by_set(w, listed).alias("hits")))
         marked = docs.withColumn("__found", found)
     else:
-        keyed = docs.withColumn("__row", F.xxhash64(*docs.columns, F.monotonically_increasing_id())).withColumn("__words", words(F.col(text)))
+        keyed = docs.withColumn("__row", F.xxhash64(F.col(text).cast("string"), F.monotonically_increasing_id())).withColumn("__words", words(F.col(text)))
         marked = _hits_by_join(keyed, windows, size).withColumn("__found", F.struct(
             F.size("__words").alias("n"), F.coalesce("__hits", F.array().cast("array<struct<start:int,n:int,items:array<string>>>")).alias("hits"))).drop("__row", "__words", "__hits")
     hits = F.col("__found")["hits"]
