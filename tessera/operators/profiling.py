@@ -69,7 +69,7 @@ def _frequencies(df: DataFrame, exclude_blank: bool = True) -> DataFrame:
 
 
 def distinct_and_mode(df: DataFrame) -> DataFrame:
-    """(columnName, categories, mode): distinct non-blank values, and the most frequent one if it is alone.
+    """(columnName, categories, mode, least_mode): distinct non-blank values, the most frequent one if it is alone, and the smallest of these.
 
     Values with the same count fold into one row first, so no task holds a
     column's values.
@@ -77,7 +77,7 @@ def distinct_and_mode(df: DataFrame) -> DataFrame:
     by_count = _frequencies(df).groupBy("columnName", "n").agg(F.count("*").alias("k"), F.min("value").alias("value"))
     top = F.max_by(F.struct("k", "value"), "n")
     return by_count.groupBy("columnName").agg(F.sum("k").alias("categories"), top.alias("top")).select(
-        "columnName", "categories", F.when(F.col("top.k") == 1, F.col("top.value")).alias("mode")
+        "columnName", "categories", F.when(F.col("top.k") == 1, F.col("top.value")).alias("mode"), F.col("top.value").alias("least_mode")
     )
 
 
@@ -114,14 +114,19 @@ def _printed(metric: str, value, round_at: int, dtype: T.DataType) -> str:
 
 def data_summary(
     df: DataFrame, metrics: Sequence[str] = DEFAULT_METRICS, round_at: int = 2, relative_error: float = 0.01,
-    approx_count_distinct: bool = True, approx_threshold: int = 100_000,
+    approx_count_distinct: bool = True, approx_threshold: int = 100_000, percentile_method: str = "interpolated", mode_format: str = "empty",
 ) -> DataFrame:
     """One row of strings a column: columnName, ordinalPosition and the metrics.
 
     Up to ``approx_threshold`` rows all is exact (-1: always); beyond it
     percentiles have ``relative_error`` and distinct counts are estimated
-    unless ``approx_count_distinct`` is off. An empty table gives no row.
+    unless ``approx_count_distinct`` is off. ``percentile_method="nist"`` takes
+    percentiles at rank p (n + 1). Of equally frequent values the mode is none
+    (``mode_format="empty"``) or the smallest (``"auto"``). An empty table
+    gives no row.
     """
+    if percentile_method not in ("interpolated", "nist") or mode_format not in ("empty", "auto"):
+        raise ValueError(f"unknown option: {percentile_method}, {mode_format}")
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {', '.join(sorted(unknown))}")
@@ -141,12 +146,15 @@ def data_summary(
         values = {r["columnName"]: r for r in distinct_and_mode(df).collect()}
     elif need_values:
         sketch = df.agg(*[F.approx_count_distinct(F.when(non_blank(f.name, f.dataType), F.col(f"`{f.name}`"))).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]).first()
-        values = {f.name: {"categories": sketch[k], "mode": None} for k, f in enumerate(df.schema.fields)}
+        values = {f.name: {"categories": sketch[k], "mode": None, "least_mode": None} for k, f in enumerate(df.schema.fields)}
+    ranked = {}
+    if percentile_method == "nist" and {"%25", "median", "%75"} & set(chosen):
+        ranked = _nist_quartiles(df)
     rows = []
     for place, field in enumerate(df.schema.fields, 1):
         name, kind = field.name, field.dataType
         own = {m: got.get((name, m)) for m in METRICS}
-        quartiles = got.get((name, "quartiles")) or [None] * 3
+        quartiles = ranked.get(name) or got.get((name, "quartiles")) or [None] * 3
         own["%25"], own["median"], own["%75"] = quartiles
         own["dataType"] = type_name(kind)
         own["dataLength"] = own["maximumLength"] if isinstance(kind, T.StringType) else fixed_bytes(kind)
@@ -155,7 +163,7 @@ def data_summary(
         own["uniqueValueRatio"] = min(1.0, categories / there) if there else 0.0
         own["categoryCount"] = 0 if is_numeric(kind) else categories
         own["primaryKeyCandidate"] = int(there > 0 and categories >= there)
-        own["mode"] = seen["mode"] if seen else None
+        own["mode"] = (seen["mode"] if mode_format == "empty" else seen["least_mode"]) if seen else None
         rows.append((name, str(place), *(own["dataType"] if m == "dataType" else _printed(m, own[m], round_at, kind) for m in chosen)))
     return spark.createDataFrame(rows, schema)
 
@@ -196,6 +204,16 @@ def nist_percentiles(df: DataFrame, column: str, points: Sequence[float]) -> Dat
     return at.groupBy("p", "r").agg(low.alias("low"), high.alias("high")).select("p", (F.col("low") + (F.col("r") - F.floor("r")) * (F.col("high") - F.col("low"))).alias("value"))
 
 
+def _nist_quartiles(df: DataFrame) -> dict[str, list[float]]:
+    found = {}
+    for f in df.schema.fields:
+        if is_numeric(f.dataType):
+            values = df.select(F.when(non_blank(f.name, f.dataType), F.col(f"`{f.name}`")).alias("v"))
+            rows = {r["p"]: r["value"] for r in nist_percentiles(values, "v", (0.25, 0.5, 0.75)).collect()}
+            found[f.name] = [rows.get(p) for p in (0.25, 0.5, 0.75)]
+    return found
+
+
 def _long(df: DataFrame, columns: Sequence[str], metrics) -> DataFrame:
     """One aggregate, then one row a column."""
     wide = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[m.alias(n) for n, m in metrics(F.col(c)).items()]).alias(f"c{k}") for k, c in enumerate(columns)])

@@ -41,6 +41,15 @@ def test_summary_of_nothing(spark):
         profiling.data_summary(df, ["nonsense"])
 
 
+def test_other_percentiles_and_modes(spark, people):
+    favourite = spark.createDataFrame([(57,), (57,), (57,), (0,), (-1,), (57,)], "n int")
+    # Ranks 1.75, 3.5 and 5.25 of -1, 0, 57, 57, 57, 57.
+    assert tuple(profiling.data_summary(favourite, ["%25", "median", "%75"], percentile_method="nist").first())[2:] == ("-0.25", "57.0", "57.0")
+    assert [r["mode"] for r in profiling.data_summary(people.select("name"), ["mode"], mode_format="auto").collect()] == ["AA"]
+    with pytest.raises(ValueError):
+        profiling.data_summary(people, percentile_method="other")
+
+
 def test_estimates_beyond_the_threshold(people):
     exact = profiling.data_summary(people, ["mean", "uniqueValueRatio"]).collect()
     near = profiling.data_summary(people, ["mean", "uniqueValueRatio"], approx_threshold=2).collect()
