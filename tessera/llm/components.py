@@ -7,13 +7,31 @@ from pyspark.sql import DataFrame, functions as F
 from .stash import Stash
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges(u, v) with u > v or u = v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = (
+        both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        .unionByName(least.select("u", F.col("m").alias("v")))
+        .distinct()
+    )
+    below = large.groupBy("u").agg(F.min("v").alias("m"))
+    return (
+        large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        .unionByName(below.select("u", F.col("m").alias("v")))
+        .distinct()
+    )
+
+
 def components(links: DataFrame, stash: Stash, label: str) -> DataFrame:
     """(node, root) for each end of ``links(a, b)``; root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps: every step is one shuffle
-    with partial minima, so a node of very many links costs no task more than
-    its share, and the number of rounds grows with the logarithm of the size.
-    Self links keep a node as its own root; an empty table gives no row.
+    Alternates large-star and small-star steps: every step is a shuffle with
+    partial minima, so a node of very many links costs no task more than its
+    share, and the number of rounds grows with the logarithm of the size. Two
+    steps of each kind make a round, which is written. Self links keep a node
+    as its own root; an empty table gives no row.
     """
     edges = stash.keep(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0"
@@ -21,20 +39,7 @@ def components(links: DataFrame, stash: Stash, label: str) -> DataFrame:
     state, step = None, 0
     while True:
         step += 1
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(below.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        old, edges = edges, stash.keep(small, f"{label}-{step}")
+        edges = stash.keep(_stars(_stars(edges)), f"{label}-{step}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         stash.drop(f"{label}-{step - 1}")
         if now == state:

@@ -238,6 +238,28 @@ def test_ngram_join_opens_parts_of_groups(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == classes_by_hand(rows)
 
 
+def test_components(spark):
+    from tessera.llm.components import components
+    from tessera.llm.stash import Stash
+
+    rnd = random.Random(11)
+    links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 50)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)] + [(7, 7), (500, 500)]
+    root = {n: n for e in links for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    rnd.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long")
+    assert dict(map(tuple, components(df, Stash(spark, "t"), "c").collect())) == {n: find(n) for n in root}
+    assert components(df.limit(0), Stash(spark, "t"), "c").count() == 0
+
+
 def test_sketches_never_rule_out_links():
     rnd = np.random.default_rng(5)
     for n in (1, 5, 60, 500, 3000):
