@@ -58,6 +58,10 @@ BUCKET, PART = 500_000, 128
 RUN = 1_500_000
 #: Members up to which a group is first compared by sketches.
 SKETCHED = 8
+#: Queries aimed at in one task for one part of a group; a part with more is copied and they are dealt.
+QUERIES = 500
+#: Parts with copies up to which their list is broadcast.
+BROADCAST_PARTS = 100_000
 #: Documents up to which the list of those to read again is broadcast, 8 bytes each.
 BROADCAST_DOCS = 1_000_000
 
@@ -295,12 +299,23 @@ def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(marks, "sig").join(other, "other").select("sig", "g", "n", "sketch", "other_n", "other_sketch").mapInArrow(_allowed, "sig long, g long")
 
 
+def _dealt(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (g, sig, query) of both, where a part that very many queries ask for has a copy for each ``QUERIES`` of them."""
+    copies = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1")
+    few = copies.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
+    asked = F.broadcast(copies) if few else copies
+    n = F.coalesce("copies", F.lit(1))
+    one = queries.join(asked, "g", "left").select("g", "sig", F.pmod(F.xxhash64("sig"), n).cast("int").alias("copy"), F.lit(True).alias("query"))
+    every = members.join(asked, "g", "left").select("g", "sig", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"), F.lit(False).alias("query"))
+    return every.unionByName(one).select(F.xxhash64("g", "copy").alias("g"), "sig", "query")
+
+
 def _links(queries: DataFrame, members: DataFrame, plain: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
     """Verified links of queries(g, sig) with members(g, sig).
 
     The sets are made anew from one document of each: chosen(sig, doc_id).
     """
-    rows = members.select("g", "sig", F.lit(False).alias("query")).unionByName(queries.select("g", "sig", F.lit(True).alias("query")))
+    rows = _dealt(queries, members)
     ids = rows.select("sig").distinct().join(chosen, "sig").where("doc_id is not null").select("doc_id").distinct()
     few = ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     again = plain.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(plain.where("doc_id is null"))
