@@ -239,10 +239,14 @@ def test_ngram_join_opens_parts_of_groups(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == classes_by_hand(rows)
 
 
-def test_components(spark):
-    from tessera.llm.components import components
+@pytest.mark.parametrize("one_task", [1_000_000, 10])
+def test_components(spark, monkeypatch, one_task):
+    from tessera.llm import components as c
     from tessera.llm.stash import Stash
 
+    components = c.components
+    monkeypatch.setattr(c, "ONE_TASK", one_task)
+
     rnd = random.Random(11)
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 50)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)] + [(7, 7), (500, 500)]
     root = {n: n for e in links for n in e}
