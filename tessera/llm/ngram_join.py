@@ -15,8 +15,10 @@ How it runs
    Each set also has a parity sketch of 1/32 of its size at most: the bits in
    which two sketches differ bound the shingles in which the sets differ, so
    most pairs that cannot link go before any set is read.
-3. In each cell, all are compared with one pivot. The verified links give the
-   *groups*: near copies fall together here, however many there are.
+3. Each cell has a pivot, and a set is compared with the pivots it meets most
+   often; a few turns with other pivots follow. The verified links give the
+   *groups*: near copies fall together here, however many there are, and what
+   this step misses is left to the next.
 4. Each group, in parts of bounded size, stores the union of its members'
    shingles. A document that shares a cell with another group is a query of
    it: ``|query & union| >= 0.8 |query|`` is needed for any link. Only groups
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import textvec as tv
 from .components import components
@@ -56,8 +58,12 @@ COMMON = 1 << 18
 BUCKET, PART = 500_000, 128
 #: Shingles in which repeats are counted at once; it bounds memory and shapes the order alone.
 RUN = 1_500_000
-#: Members up to which a group is first compared by sketches.
-SKETCHED = 8
+#: Documents at least in a task that counts, where partitions are smaller.
+TASK = 3_000
+#: Pivots that a set is compared with before groups are known; all else is decided with groups.
+PIVOTS = 3
+#: Times that sets are compared with pivots.
+TURNS = 3
 #: Queries aimed at in one task for one part of a group; a part with more is copied and they are dealt.
 QUERIES = 500
 #: Parts with copies up to which their list is broadcast.
@@ -231,10 +237,7 @@ def _partnered(first: np.ndarray, size: np.ndarray, n: np.ndarray, rest: np.ndar
 
 
 def _cells(table: pa.Table) -> pa.Table:
-    """(cell, sig, pivot): members of the cells of one bucket that could link with another one.
-
-    The pivot is the smallest signature of them.
-    """
+    """(cell, sig): members of the cells of one bucket that could link with another one."""
     h, s, n, place = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist())))
     order = np.lexsort((s, h))
     h, s, n, rest = h[order], s[order], n[order], (n - place)[order]
@@ -243,9 +246,7 @@ def _cells(table: pa.Table) -> pa.Table:
     h, s, n, rest = h[new], s[new], n[new], rest[new]
     _, first, size = np.unique(h, return_index=True, return_counts=True)
     use = _partnered(first, size, n, rest)
-    h, s = h[use], s[use]
-    _, first, size = np.unique(h, return_index=True, return_counts=True)
-    return pa.table({name: x.view(np.int64) for name, x in (("cell", h), ("sig", s), ("pivot", np.repeat(s[first], size)))})
+    return pa.table({"cell": h[use].view(np.int64), "sig": s[use].view(np.int64)})
 
 
 def _pack_sets(batches):
@@ -299,6 +300,41 @@ def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(marks, "sig").join(other, "other").select("sig", "g", "n", "sketch", "other_n", "other_sketch").mapInArrow(_allowed, "sig long, g long")
 
 
+def _cell_queries(batches):
+    """(sig, g): members of a cell as queries of the other groups that are in it.
+
+    Of two groups the smaller one asks. A query goes on if some member of the
+    other group, in this cell, leaves room for a link by sketches; pairs that do
+    not are never rows. Rows come sorted by cell.
+    """
+    held: list[tuple] = []
+
+    def asked():
+        ordered = sorted(held, key=lambda r: (r[3], r[2], r[1]))
+        out = set()
+        for k, (_, sig, g, _, n, mark) in enumerate(ordered):
+            for _, _, other, _, m, own in reversed(ordered[k + 1 :]):
+                if other == g:
+                    break
+                if (sig, other) not in out and 100 * min(n, m) >= PERCENT * max(n, m) and sketches_allow(n, mark, m, own):
+                    out.add((sig, other))
+        return out
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), pa.array([g for _, g in found], pa.int64())], ["sig", "g"])
+
+    for batch in batches:
+        found = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "sig", "g", "members", "n", "sketch"))):
+            if held and held[0][0] != row[0]:
+                found += asked()
+                held = []
+            held.append(row)
+        yield rows(found)
+    if held:
+        yield rows(list(asked()))
+
+
 def _dealt(queries: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (g, sig, query) of both, where a part that very many queries ask for has a copy for each ``QUERIES`` of them."""
     copies = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1")
@@ -324,13 +360,26 @@ def _links(queries: DataFrame, members: DataFrame, plain: DataFrame, chosen: Dat
     return full.repartition(parts, "g").sortWithinPartitions("g", "query").mapInArrow(_open_groups, "a long, b long")
 
 
+def _pivot_pairs(grouped: DataFrame, turn: int) -> DataFrame:
+    """(sig, other, g): members of cells with a pivot of another group, which is g too; a set takes those it shares most cells with.
+
+    The pivot of a cell is one member of it, another one each turn.
+    """
+    pivots = grouped.groupBy("cell").agg(F.min_by(F.struct("sig", "g"), F.xxhash64("sig", F.lit(turn))).alias("p"))
+    shared_cells = grouped.join(pivots, "cell").where("g <> p.g").groupBy("sig", F.col("p.sig").alias("other")).agg(F.count("*").alias("cells"))
+    place = F.row_number().over(W.partitionBy("sig").orderBy(F.desc("cells"), "other"))
+    return shared_cells.withColumn("place", place).where(F.col("place") <= PIVOTS).select("sig", "other", F.col("other").alias("g"))
+
+
 def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
     spark = docs.sparkSession
     stash = Stash(spark, "ngram")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    profile = stash.keep(plain.mapInArrow(_profile, "doc_id long, n long, s1 long, sketch binary, common boolean"), "profile")
+    # Shingles that repeat are found among the documents of a task, so no task has only a few.
+    tasks = max(1, plain.count() // TASK)
+    profile = stash.keep(plain.coalesce(tasks).mapInArrow(_profile, "doc_id long, n long, s1 long, sketch binary, common boolean"), "profile")
     rows = profile.where("not common").select("doc_id", "n", "s1")
     common = (
         profile.where("common").groupBy("s1").agg(F.sum("n").alias("n")).where("n > 2")
@@ -346,7 +395,7 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     buckets = max(width, math.ceil(total / BUCKET))
     cells = stash.keep(
         plain.select("text").mapInArrow(_postings(shipped, buckets), "bucket long, blob binary")
-        .groupBy("bucket").applyInArrow(_cells, "cell long, sig long, pivot long"),
+        .groupBy("bucket").applyInArrow(_cells, "cell long, sig long"),
         "cells",
     )
 
@@ -356,28 +405,23 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     marks = stash.keep(by_sig.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(met, "sig"), "marks")
     chosen, sketch = marks.select("sig", "doc_id"), marks.select("sig", "n", "sketch")
 
-    star = cells.where("sig <> pivot").select("sig", F.col("pivot").alias("other"), F.col("pivot").alias("g")).distinct()
-    star = stash.keep(_sketched(star, sketch), "star")
-    first = stash.keep(_links(star, star.select("g", F.col("g").alias("sig")).distinct(), plain, chosen, width), "first")
-    groups = stash.keep(components(first, stash, "group"), "groups")
+    grouped, links = cells.select("cell", "sig", F.col("sig").alias("g")), None
+    for turn in range(TURNS):
+        star = stash.keep(_sketched(_pivot_pairs(grouped, turn), sketch), f"star-{turn}")
+        found = stash.keep(_links(star, star.select("g", F.col("g").alias("sig")).distinct(), plain, chosen, width), f"links-{turn}")
+        links = found if links is None else links.unionByName(found)
+        groups = stash.keep(components(links, stash, f"group-{turn}"), f"groups-{turn}")
+        in_group = groups.withColumnRenamed("node", "sig")
+        grouped = stash.keep(cells.join(in_group, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("g")).distinct(), f"grouped-{turn}")
+        if not found.limit(1).count():
+            break
 
-    in_group = groups.withColumnRenamed("node", "sig")
-    grouped = stash.keep(cells.join(in_group, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("g")).distinct(), "grouped")
     of_group = stash.keep(marks.join(in_group, "sig", "left").select("sig", F.coalesce("root", "sig").alias("g")), "of_group")
     sizes = of_group.groupBy("g").agg(F.count("*").alias("members"))
-    in_cell = grouped.select("cell", "g").distinct().join(sizes, "g")
-    several = in_cell.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("members", "g"))).alias("gs")).where("size(gs) > 1")
-    meets = (
-        grouped.join(several, "cell")
-        .select("sig", "g", F.explode("gs").alias("other"))
-        .join(sizes.withColumnRenamed("members", "own"), "g")
-        .where("struct(other.members, other.g) > struct(own, g)")
-        .select("sig", F.col("other.g").alias("g"), F.col("other.members").alias("members")).distinct()
-    )
-    meets = stash.keep(meets, "meets")
-    small = meets.where(F.col("members") <= SKETCHED).select("sig", "g")
-    small = _sketched(small.join(of_group.withColumnRenamed("sig", "other"), "g"), sketch).distinct()
-    left = stash.keep(small.unionByName(meets.where(F.col("members") > SKETCHED).select("sig", "g")).join(sizes, "g"), "left")
+    mixed_cells = grouped.groupBy("cell").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("cell")
+    seen = grouped.join(mixed_cells, "cell").join(sizes, "g").join(sketch, "sig").select("cell", "sig", "g", "members", "n", "sketch")
+    meets = seen.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_cell_queries, "sig long, g long").distinct()
+    left = stash.keep(meets.join(sizes, "g"), "left")
     parts = F.ceil(F.col("members") / PART).cast("int")
     queries = left.select("sig", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     members = of_group.join(left.select("g", "members").distinct(), "g").select("sig", "g", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"))
@@ -385,7 +429,7 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     second = stash.keep(_links(queries.select(part, "sig"), members.select(part, "sig"), plain, chosen, width), "second")
     known = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = stash.keep(components(known, stash, "class"), "final")
-    stash.drop("cells", "marks", "star", "first", "groups", "grouped", "of_group", "meets", "left", "second")
+    stash.drop("cells", "marks", "of_group", "left", "second", *(f"{name}-{k}" for name in ("star", "links", "groups", "grouped") for k in range(TURNS)))
 
     by_set = rows.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("least"))
     reached = final.join(by_set, "node")

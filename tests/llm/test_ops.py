@@ -232,7 +232,6 @@ def test_ngram_join(spark, seed, families, copies, words):
 
 def test_ngram_join_opens_parts_of_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART", 2)
-    monkeypatch.setattr(ngram_join, "SKETCHED", 1)
     monkeypatch.setattr(ngram_join, "QUERIES", 3)
     rows = near_copies(4, 4, 15, 50)
     out = ngram_join.shingle_classes(docs(spark, [(i, t, "s") for i, t in rows]))
