@@ -247,9 +247,10 @@ def value_pattern(col: Column) -> Column:
     return F.regexp_replace(out, "[0-9]", "9")
 
 
-def run_pattern(col: Column, limit: int = 1000) -> Column:
-    """Runs of classes with their lengths, like Aa(2)9(4)."""
-    runs = F.regexp_extract_all(F.substring(value_pattern(col), 1, limit), F.lit("(?s)A+|a+|9+|."), F.lit(0))
+def run_pattern(col: Column, limit: int | None = None) -> Column:
+    """Runs of classes with their lengths, like Aa(2)9(4), of the whole text or of its first ``limit`` characters."""
+    text = col if limit is None else F.substring(col, 1, limit)
+    runs = F.regexp_extract_all(value_pattern(text), F.lit("(?s)A+|a+|9+|."), F.lit(0))
     short = lambda x: F.when((F.length(x) > 1), F.concat(F.substring(x, 1, 1), F.lit("("), F.length(x).cast("string"), F.lit(")"))).otherwise(x)
     return F.array_join(F.transform(runs, short), "")
 

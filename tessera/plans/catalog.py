@@ -145,7 +145,7 @@ def pattern_distribution(spark, sf_dir):
 @query("""select doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 200), '[a-z]', 'a', 'g'), '[A-Z一-龻]', 'A', 'g'), '[0-9]', '9', 'g'),
     'A+|a+|9+|[\\s\\S]'), lambda x: case when length(x) > 1 then substr(x, 1, 1) || '(' || length(x) || ')' else x end), '') as pattern from documents""")
 def alt_pattern_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", profiling.run_pattern(F.substring("text", 1, 200), 200).alias("pattern"))
+    return table(spark, sf_dir, "documents").select("doc_id", profiling.run_pattern(F.col("text")).alias("pattern"))
 
 
 @query("select quantile_disc(l_extendedprice, 0.9) as value from lineitem")
