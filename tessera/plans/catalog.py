@@ -384,7 +384,7 @@ def llm_param(spark, sf_dir):
 @query("select conv_id, turn, 'As ' || role || ': ' || left(text, 40) || ' (' || role || ')' as prompt from conversations")
 def llm_prompt(spark, sf_dir):
     df = table(spark, sf_dir, "conversations")
-    return df.select("conv_id", "turn", prompts.llm_prompt(F.lit("As {0}: {1} ({0})"), F.array("role", F.substring("text", 1, 40))).alias("prompt"))
+    return df.select("conv_id", "turn", prompts.llm_prompt(F.lit("As {0}: {1} ({0})"), F.array("role", "text")).alias("prompt"))
 
 
 @query("select event_id, event_type as output from events")

@@ -4,7 +4,9 @@ import re
 
 import pyarrow.parquet as pq
 from conftest import DATA
+from pyspark.sql import functions as F
 
+from tessera.functions import prompts
 from tessera.operators import profiling
 from tessera.plans import catalog
 
@@ -35,3 +37,17 @@ def test_alternative_patterns_of_the_distribution(spark):
     df = catalog.table(spark, DATA, "part").select("p_name", "p_type")
     got = profiling.pattern_distribution(df).collect()
     assert got and all(r["alternativePattern"] == runs(r["pattern"]) for r in got)
+
+
+def test_llm_prompt_fills_in_whole_texts(spark):
+    turns = rows("conversations")
+    assert max(len(r["text"]) for r in turns) > 40
+    want = sorted((r["conv_id"], r["turn"], f"As {r['role']}: {r['text']} ({r['role']})") for r in turns)
+    assert sorted(map(tuple, catalog.QUERIES["llm_prompt"](spark, DATA).collect())) == want
+
+
+def test_llm_prompt_keeps_placeholders_of_long_texts(spark):
+    text = "x" * 60 + " {0} {1}"
+    df = spark.createDataFrame([("user", text)], "role string, text string")
+    got = df.select(prompts.llm_prompt(F.lit("As {0}: {1} ({0})"), F.array("role", "text"))).first()[0]
+    assert got == f"As user: {text} (user)"
