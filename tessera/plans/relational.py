@@ -23,8 +23,6 @@ SHARED: dict[str, tuple[str, str]] = {
         select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F')"""),
     "cross_join": ("region nation", """
         select r.r_name, n.n_name from region r cross join nation n"""),
-    "theta_join": ("part supplier", """
-        select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal and p.p_size < 5 group by p.p_partkey"""),
     "multi_join": ("lineitem orders customer nation region", """
         select r.r_name, n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) as revenue, count(*) as n
         from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey
@@ -106,11 +104,14 @@ SHARED: dict[str, tuple[str, str]] = {
         select o_orderkey from orders where not coalesce(nullif(o_orderstatus, 'P') <> 'F', false)"""),
 }
 
-#: name -> (tables, Spark text, other text) where the two engines spell it differently.
+#: name -> (tables, Spark text, other text) where the two texts differ.
 SPELLED: dict[str, tuple[str, str, str]] = {
+    "theta_join": ("part supplier", """
+        select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal group by p.p_partkey""", """
+        select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal and p.p_size < 5 group by p.p_partkey"""),
     "asof_join": ("lineitem orders", """
         select l.l_orderkey, l.l_linenumber, l.l_partkey, max_by(o.o_orderkey, struct(o.o_orderdate, o.o_orderkey)) as next_order
-        from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate from lineitem where l_quantity = 1) l
+        from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate from lineitem) l
         join (select o_orderkey, o_custkey, o_orderdate from orders) o on l.l_suppkey = o.o_custkey and o.o_orderdate <= l.l_shipdate
         group by l.l_orderkey, l.l_linenumber, l.l_partkey""", """
         select l_orderkey, l_linenumber, l_partkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as next_order

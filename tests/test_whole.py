@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pyarrow.parquet as pq
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -51,3 +52,23 @@ def test_llm_prompt_keeps_placeholders_of_long_texts(spark):
     df = spark.createDataFrame([("user", text)], "role string, text string")
     got = df.select(prompts.llm_prompt(F.lit("As {0}: {1} ({0})"), F.array("role", "text"))).first()[0]
     assert got == f"As user: {text} (user)"
+
+
+def duck(sql):
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "part", "supplier", "events"):
+        con.execute(f"create view {name} as select * from read_parquet('{DATA}/{name}.parquet')")
+    return con.execute(sql).fetchall()
+
+
+def test_asof_join_of_all_lines(spark):
+    want = duck("""select l_orderkey, l_linenumber, l_partkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) from lineitem
+        join orders on l_suppkey = o_custkey and o_orderdate <= l_shipdate group by l_orderkey, l_linenumber, l_partkey""")
+    assert len(want) > 1000
+    assert sorted(map(tuple, catalog.QUERIES["asof_join"](spark, DATA).collect())) == sorted(want)
+
+
+def test_theta_join_of_all_parts(spark):
+    want = duck("select p_partkey, count(*) from part join supplier on p_retailprice > s_acctbal group by p_partkey")
+    assert len(want) == len(rows("part"))
+    assert sorted(map(tuple, catalog.QUERIES["theta_join"](spark, DATA).collect())) == sorted(want)
