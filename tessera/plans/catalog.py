@@ -501,10 +501,10 @@ def versioned_table(spark, sf_dir):
 
 @query("""select user_id as k, arg_max(printf('%012d', event_id), (floor(epoch(ts))::bigint, event_id)) as v from events where event_type <> (select min(event_type) from events) group by user_id""")
 def cdc_stream(spark, sf_dir):
-    """Change events as files, streamed into a versioned table."""
+    """Change events as files, deletes included, streamed into a versioned table."""
     from ..streaming.versioned import VersionedTable
 
-    changes = _changes(spark, sf_dir).where("type = 'UPDATE'")
+    changes = _changes(spark, sf_dir)
     event = F.to_json(F.struct(F.lit("db").alias("database"), F.lit("t").alias("table"), "type", "ts", "data"))
     path = _scratch(spark, "stream")
     changes.select(event.alias("value")).write.text(f"{path}/in")

@@ -72,3 +72,13 @@ def test_theta_join_of_all_parts(spark):
     want = duck("select p_partkey, count(*) from part join supplier on p_retailprice > s_acctbal group by p_partkey")
     assert len(want) == len(rows("part"))
     assert sorted(map(tuple, catalog.QUERIES["theta_join"](spark, DATA).collect())) == sorted(want)
+
+
+def test_cdc_stream_merges_deletes(spark):
+    last = """select user_id as k, arg_max((event_type = (select min(event_type) from events), printf('%012d', event_id)), (floor(epoch(ts))::bigint,
+        (event_type <> (select min(event_type) from events))::int, event_id)) as last from events group by user_id"""
+    want = dict(duck(last))
+    gone = {k for k, (deleted, _) in want.items() if deleted}
+    assert gone and len(gone) < len(want)
+    got = {r["k"]: r["v"] for r in catalog.QUERIES["cdc_stream"](spark, DATA).collect()}
+    assert got == {k: v for k, (_, v) in want.items() if k not in gone}
