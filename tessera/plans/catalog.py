@@ -66,7 +66,7 @@ _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query()
 def summary_compat(spark, sf_dir):
-    return profiling.data_summary(table(spark, sf_dir, "lineitem"), metrics=profiling.METRICS)
+    return profiling.data_summary(table(spark, sf_dir, "lineitem"), metrics=profiling.METRICS, approx_threshold=-1)
 
 
 @query(_union(_NUMBERS, """select '{c}' as column_name, count(*) as total_count, count({c}) as non_null, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as stddev,

@@ -82,3 +82,14 @@ def test_cdc_stream_merges_deletes(spark):
     assert gone and len(gone) < len(want)
     got = {r["k"]: r["v"] for r in catalog.QUERIES["cdc_stream"](spark, DATA).collect()}
     assert got == {k: v for k, (_, v) in want.items() if k not in gone}
+
+
+def test_summary_is_exact_beyond_the_threshold(spark):
+    big = "/root/testdata/sf0.1"
+    got = {r["columnName"]: r for r in catalog.QUERIES["summary_compat"](spark, big).collect()}
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"):
+        want = duckdb.connect().execute(f"""select count(*), avg({c}), min({c}), max({c}), quantile_cont({c}, 0.25), quantile_cont({c}, 0.5), quantile_cont({c}, 0.75)
+            from read_parquet('{big}/lineitem.parquet')""").fetchone()
+        own = [float(got[c][m]) for m in ("totalCount", "mean", "min", "max", "%25", "median", "%75")]
+        # The summary's numbers are texts of two places.
+        assert all(abs(a - float(b)) < 0.0051 for a, b in zip(own, want)), (c, own, want)
