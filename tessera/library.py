@@ -517,7 +517,11 @@ def _llm_model(ctx, df, path, o):
     action, kind = o.get("action", "infer"), o.get("pretrainedModelType", "custom")
     serving.check_action(action, kind)
     if action != "infer":
-        raise RuntimeError(f"the backend {o.get('backend', 'mock')} does not {action}")
+        name = o.get("backend", "mock")
+        do = getattr(serving.BACKENDS[name](o), action, None) if name in serving.BACKENDS else None
+        if do is None:
+            raise RuntimeError(f"the backend {name} does not {action}")
+        return ctx.spark.createDataFrame([(action, kind, do(df, path, o))], "action string, pretrainedModelType string, model string")
     serving.register_function(ctx.spark, o["udfName"], kind, o)
     prompts.register(ctx.spark)
     return ctx.spark.createDataFrame([(o["udfName"],)], "udfName string")

@@ -7,7 +7,9 @@ import pyarrow.parquet as pq
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from tessera.context import ScriptContext
 from tessera.functions import prompts
+from tessera.ml import serving
 from tessera.operators import profiling
 from tessera.plans import catalog
 
@@ -93,3 +95,15 @@ def test_summary_is_exact_beyond_the_threshold(spark):
         own = [float(got[c][m]) for m in ("totalCount", "mean", "min", "max", "%25", "median", "%75")]
         # The summary's numbers are texts of two places.
         assert all(abs(a - float(b)) < 0.0051 for a, b in zip(own, want)), (c, own, want)
+
+
+def test_llm_actions_go_to_a_backend_that_has_them(spark, monkeypatch):
+    class Tuner(serving.EchoBackend):
+        def finetune(self, rows, path, options):
+            return f"{path}: {rows.count()} rows"
+
+    monkeypatch.setitem(serving.BACKENDS, "tuner", lambda options: Tuner())
+    ctx = ScriptContext(spark)
+    ctx.publish(spark.range(3), "tuning_rows")
+    out = ctx.run("run tuning_rows as LLM.`/models/own` where action='finetune' and pretrainedModelType='sft/llama' and backend='tuner' as tuned;")
+    assert out.collect()[0][:] == ("finetune", "sft/llama", "/models/own: 3 rows")
