@@ -23,10 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name like ``label`` that no column of ``df`` has, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{label}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _stashes: list[Stash] = []
 
 

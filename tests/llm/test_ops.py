@@ -383,11 +383,11 @@ def scan_by_hand(rows, items, size=10):
         n = min(size, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
-    out = []
+    out, sizes = [], {len(x) for x in windows}
     for i, t in rows:
         w, hit, found = words(t), set(), set()
         for k in range(len(w)):
-            for n in {len(x) for x in windows}:
+            for n in sizes:
                 own = tuple(w[k : k + n])
                 if len(own) == n and own in windows:
                     hit |= set(range(k, k + n))
@@ -405,14 +405,30 @@ def contamination(spark):
     return rows, items, docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [50_000, 3])
-def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+@pytest.mark.parametrize("block", [1_000_000, 30])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     rows, items, df, benchmark = contamination(spark)
     out = decontaminate.scan(df, benchmark).select("doc_id", "__found.*").collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out), key=repr) == scan_by_hand(rows, items)
 
 
+def test_decontamination_by_a_million_windows(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=110))) for k in range(10_000)]
+    rows = []
+    for k in range(60):
+        own = rnd.choices(vocabulary, k=300)
+        if k % 2:
+            at, cut = rnd.randrange(200), rnd.randrange(90)
+            own[at : at + 15] = items[rnd.randrange(10_000)][1].split()[cut : cut + rnd.choice([9, 10, 15])]
+        rows.append((k, " ".join(own)))
+    out = decontaminate.scan(docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string"))
+    out = out.select("doc_id", "__found.*").collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out), key=repr) == scan_by_hand(rows, items)
+
+
 def test_decontamination_removes(spark):
     rows, items, df, benchmark = contamination(spark)
     clean = {r[0] for r in scan_by_hand(rows, items) if not r[2]}
@@ -430,6 +446,12 @@ def test_decontamination_of_awkward(spark, awkward, empty):
     out = decontaminate.scan(awkward.withColumnRenamed("lang", "hits"), item).select("doc_id", "__found.n_words", "__found.n_hit").collect()
     assert sorted(map(tuple, out), key=repr) == sorted([(1, 0, 0), (2, 0, 0), (3, 0, 0), (None, 7, 0), (4, 60_000, 60_000), (5, 1, 0), (5, 1, 0), (6, 3, 0)], key=repr)
     assert decontaminate.scan(empty, item).count() == 0
+    clash = awkward.selectExpr("doc_id", "text", "'x' as __found", "'y' as __hits", "'z' as __index", "1 as words", "2 as item", "3 as item_id")
+    assert decontaminate.decontaminate(clash, item).columns == clash.columns
+    assert {tuple(r)[2:] for r in decontaminate.decontaminate(clash, item).collect()} == {("x", "y", "z", 1, 2, 3)}
+    assert decontaminate.decontaminate(clash, item, remove="spans").count() == 8
+    repeated = item.unionByName(item).unionByName(spark.createDataFrame([(0, "WORD " * 10)], item.schema))
+    assert decontaminate.scan(awkward, repeated).where("doc_id = 4").select("__found.items").first()[0] == ["0", "1"]
 
 
 # 8 quality rules
