@@ -107,8 +107,27 @@ def _clauses(text: str) -> list[str]:
     return [c.strip() for c in [*out, text[at:]] if c.strip()]
 
 
+#: Clauses about keys, indexes and storage, which change no column.
+_NO_COLUMN = re.compile(r"(?:add|drop|rename)\s+(?:(?:unique|fulltext|spatial)\s+)?(?:index|key|constraint|primary\s+key|unique|foreign\s+key|check|partition)\b|(?:engine|auto_increment|comment|charset|collate|row_format|default\s+(?:charset|character))\b|(?:convert|order|enable|disable|algorithm|lock|force|analyze|optimize)\b", re.I)
+
+
+def _placed(df: DataFrame, name: str, rest: str) -> DataFrame:
+    """The columns in order after FIRST or AFTER, which end a definition."""
+    m = re.search(r"\s(?:(first)|after\s+(`[^`]+`|[\w$]+))\s*$", re.sub(r"'(?:[^']|'')*'", "''", rest), re.I)
+    if not m:
+        return df
+    others = [c for c in df.columns if c.lower() != name.lower()]
+    own = next(c for c in df.columns if c.lower() == name.lower())
+    if m[1]:
+        at = 0
+    else:
+        before = m[2].strip("`").lower()
+        at = next((k + 1 for k, c in enumerate(others) if c.lower() == before), len(others))
+    return df.select(*[F.col(f"`{c}`") for c in [*others[:at], own, *others[at:]]])
+
+
 def apply_ddl(df: DataFrame, sql: str) -> DataFrame:
-    """A table after ADD, DROP, CHANGE, MODIFY or TRUNCATE."""
+    """A table after ADD, DROP, CHANGE, MODIFY, RENAME COLUMN or TRUNCATE; changes of keys, indexes and storage leave it as it is."""
     text = sql.strip().rstrip(";")
     if re.match(r"truncate\b", text, re.I):
         return df.limit(0)
@@ -116,6 +135,8 @@ def apply_ddl(df: DataFrame, sql: str) -> DataFrame:
     if not m:
         raise ValueError(f"no schema change: {sql}")
     for clause in _clauses(m[1]):
+        if _NO_COLUMN.match(clause):
+            continue
         verb, _, rest = clause.partition(" ")
         rest = re.sub(r"^column\s+", "", rest.strip(), flags=re.I)
         verb = verb.lower()
@@ -127,8 +148,13 @@ def apply_ddl(df: DataFrame, sql: str) -> DataFrame:
                 df = df.withColumnRenamed(names[0], names[1]).withColumn(names[1], F.col(f"`{names[1]}`").try_cast(kind))
             else:
                 df = df.withColumn(names[0], F.col(f"`{names[0]}`").try_cast(kind))
+            df = _placed(df, names[-1], rest)
         elif verb == "drop":
             df = df.drop(rest.strip().strip("`"))
+        elif verb == "rename":
+            pair = re.fullmatch(r"(`[^`]+`|[\w$]+)\s+to\s+(`[^`]+`|[\w$]+)", rest.strip(), re.I)
+            if pair:  # else the table itself has another name now
+                df = df.withColumnRenamed(pair[1].strip("`"), pair[2].strip("`"))
         else:
             raise ValueError(f"schema change not known: {clause}")
     return df
@@ -142,7 +168,7 @@ def _definition(text: str, names: int) -> tuple[list[str], str, str | None]:
             raise ValueError(f"no column definition: {text}")
         found.append(m[1].strip("`"))
         text = text[m.end() :]
-    kind = re.match(r"\w+\s*(?:\([^)]*\))?(?:\s+unsigned)?", text, re.I)
+    kind = re.match(r"\w+(?:\s*\([^)]*\))?(?:\s+unsigned)?", text, re.I)
     default = re.search(r"\bdefault\s+(?:'((?:[^']|'')*)'|(\S+))", text, re.I)
     value = None if not default or (default[2] or "").lower() == "null" else (default[1] if default[1] is not None else default[2])
     return found, spark_type(kind[0]), value

@@ -49,6 +49,11 @@ def test_schema_statements(spark):
     assert cdc.apply_ddl(cdc.apply_ddl(df, "alter table t add b int"), "alter table t drop column b").columns == ["a"]
     with pytest.raises(ValueError):
         cdc.apply_ddl(df, "select 1")
+    kind = lambda text: cdc.apply_ddl(df, f"alter table t modify a {text}").schema["a"].dataType.simpleString()
+    assert kind("int(10)  unsigned") == "bigint" and kind("bigint unsigned default 0") == "decimal(20,0)" and kind("decimal (12, 3) not null") == "decimal(12,3)"
+    wide = cdc.apply_ddl(df, "alter table `t` add column b int default 3 first, add c varchar(3) comment 'x after a' after b, add index k (a), rename column a to z")
+    assert wide.columns == ["b", "c", "z"] and [tuple(r) for r in wide.collect()] == [(3, None, "5")]
+    assert cdc.apply_ddl(df, "alter table t drop primary key, engine=InnoDB, rename to u").columns == ["a"]
 
 
 @pytest.mark.parametrize(("mysql", "spark_type"), [("tinyint(1)", "boolean"), ("int unsigned", "bigint"), ("decimal(12,3)", "decimal(12,3)"), ("varchar(20)", "string"), ("bigint(20) unsigned", "decimal(20,0)"), ("datetime", "timestamp")])
