@@ -1,55 +1,73 @@
-"""Main text of pages, with templates deduced from pages of the same host.
-
-Pages of a host are dealt to groups of bounded size. In a group, every block
-of a page is a token made of the path of open elements and its text; tokens
-that occur the same number of times on every page share an *occurrence vector*
-and form an equivalence class. A class is valid when its vector is on nearly
-all pages that differ in their articles, and its tokens come in one order and
-nest in the same way on each of them. Valid classes are the host's template;
-what remains between them are slots. The main text of a page is its article
-region's slots.
-
-The region is chosen by the page's own elements (article, main, content
-containers), else it is the container whose slots hold most text. Elements
-that are never main text (menus, headers, footers, side bars, notices,
-adverts, forms, comments, scripts, styles) are left out on any page, so a host
-with a single page needs no template.
+"""Main text of pages, by templates deduced from all pages of a host.
+
+How it runs
+-----------
+1. Every page becomes tokens: each block element by its path of open elements,
+   and each text block by path and text; menus, headers, footers and adverts
+   too. A token's *occurrence vector* says how often each page of the host has
+   it. Pages of one longest block are copies of an article and count as one.
+2. Vectors are grouped sums over the whole host, however large: the number of
+   pages and 128 bits of hash over (page, times). Tokens on at least
+   ``MIN_SHARE`` of a host's pages are told apart by vector into equivalence
+   classes; the order of a class is that of its first page. No task holds the
+   pages of a host, but only such tokens, which one page could hold too.
+3. Classes nest by their paths into the host's template. Its text tokens are
+   what all pages say; between its elements lie slots. The *main slot* is the
+   main element, article or content container of the template that holds half
+   of the text in slots at least, else what is reached from the root by going
+   to the one element that holds most of it.
+4. Pages are read again beside their host's template. A page that has the
+   tokens of the main slot's class in order gives the main slot's text without
+   template texts. Others, and those of hosts with fewer than ``MIN_PAGES``
+   different articles, choose by their own elements.
+
+Inside the main text, elements that never are main text (menus, footers, side
+bars, forms, scripts, and elements *named* as adverts, notices, comments and
+the like) are left out. Names are compared whole inside a main region, and in
+parts only where a page without a template has no region.
 
 Defined results: a null or empty page has the empty text; a null url is a host
 of its own; repeated rows each give a row, and a repeated page counts once in
-the deduction; an empty table gives no row. A block's white space becomes one
-space; ``<br>`` ends a block.
+the deduction; of regions that tie all are kept, in page order. Pages of any
+length are read whole: paths are hashes, so memory grows with the page, not
+with its depth. An empty table gives no row. Other columns are not read, so
+their names can't clash. A block's white space becomes one space; ``<br>`` ends
+a block.
 """
 
 from __future__ import annotations
 
+import html as entities
 import re
-from collections import Counter, defaultdict
-from html.parser import HTMLParser
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .stash import Stash
 
-#: Pages aimed at in one group of a host.
-GROUP = 64
-#: Hosts of more than one group up to which their list is broadcast; more are joined by shuffle.
-BROADCAST_HOSTS = 500_000
-#: A class needs so many pages with different articles, and this share of them.
+#: Hosts up to which templates (a few KB each) are broadcast; more are joined by shuffle.
+BROADCAST_HOSTS = 20_000
+#: A template needs so many pages with different articles, and its tokens this share of them.
 MIN_PAGES, MIN_SHARE = 4, 0.9
+#: Share of slot text that the main slot holds, and that leads on to an inner element.
+MAIN_SHARE, INNER_SHARE = 0.5, 0.7
 
-_SKIP = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg math menu dialog object audio video canvas map".split())
+_RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
+_SKIP = frozenset("head script style noscript template nav footer aside button select textarea iframe svg math menu dialog object audio video canvas map xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _CHROME = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adslot sponsor sponsored promo promotion banner banners sidebar side-bar rail "
     "cookie cookies consent gdpr notice notices notification notifications alert popup popover modal overlay toast newsletter subscribe subscription signup "
     "comment comments respond disqus replies reviews nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar topbar masthead "
-    "footer header share sharing social related recommended recommendations widget widgets search login paywall skip-link hidden".split()
+    "footer header share sharing social related recommended recommendations widget widgets search login paywall skip-link hidden "
+    "cookie-notice cookie-banner ad-slot site-header site-footer site-nav comment-list".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 _CONTENT = frozenset("content main article post entry story body-text article-body articlebody post-content entry-content main-content story-body".split())
@@ -57,182 +75,345 @@ _SPACE = re.compile(r"\s+")
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
-_ENDS_P = _BLOCK - {"br", "body", "html", "title", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "option", "optgroup", "legend", "summary"}
+_ENDS_P = _BLOCK - {"br", "body", "html", "head", "title", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "option", "optgroup", "legend", "summary"}
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_READ = re.compile(r"class|id|role|hidden|itemprop", re.I)
 
+#: What a block or element lies in: left out, a form, and regions by kind.
+OUT, FORM, MAIN, ARTICLE, CONTENT, SLOT, HEADING, LOOSE = 1, 2, 4, 8, 16, 32, 64, 128
 
-def _names(attrs: dict) -> set[str]:
-    return set(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().replace("_", "-").split())
 
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
+        out.setdefault(m[1].lower(), entities.unescape(value) if "&" in value else value)
+    return out
 
-def _is_chrome(names: set[str]) -> bool:
-    """Whether class or id names, or their parts, mark what is never main text."""
-    if names & _CONTENT:
-        return False
-    return any(n in _CHROME or any(part in _CHROME for part in n.split("-")) for n in names)
-
-
-class _Page(HTMLParser):
-    """Blocks of a page: (path, region, text); regions are numbered, 0 is the page itself."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, str]] = []
-        self.open: list[tuple[str, bool, int, str]] = []  # tag, left out, region, path
-        self.regions: list[str] = ["page"]
-        self.text: list[str] = []
-
-    def _state(self) -> tuple[str, bool, int, str]:
-        return self.open[-1] if self.open else ("", False, 0, "")
 
-    def flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.text)).strip()
-        self.text = []
-        _, left_out, region, path = self._state()
-        if text and not left_out:
-            self.blocks.append((path, region, text))
+class Page:
+    """Blocks (path, flags, text) and block elements (path: parent, times, first place, kind) of a page."""
+
+    def __init__(self, html: str, slots: frozenset[int] = frozenset()):
+        self.blocks: list[tuple[int, int, str]] = []
+        self.elements: dict[int, list] = {}
+        self.slots = slots
+        self._open: list[tuple] = []  # tag, is a block, flags, path, place of the nearest block here
+        self._at: dict[str, list[int]] = {}
+        self._text: list[str] = []
+        self._known: dict[tuple[int, str], int] = {}
+        self._place = 0
+        self._read(html)
+        self._flush()
+
+    def _read(self, html: str) -> None:
+        at, end, tag = 0, len(html), _TAG
+        while at < end:
+            lt = html.find("<", at)
+            if lt < 0:
+                self._say(html[at:])
+                return
+            if lt > at:
+                self._say(html[at:lt])
+            m = tag.match(html, lt)
+            if m is None and tag is _TAG and html[lt + 1 : lt + 3].lstrip("/")[:1].isalpha():
+                tag = _LOOSE  # a quote that never ends: quotes mean nothing from here on
+                m = tag.match(html, lt)
+            if m is not None:
+                at, name = m.end(), m[2].lower()
+                if m[1]:
+                    self._end(name)
+                    continue
+                self._start(name, m[3])
+                if name in _RAW:
+                    close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+                    at = close.start() if close else end
+            elif html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    at = html.index(">", lt) + 1
+                else:
+                    close = html.find("-->", lt + 4)
+                    at = close + 3 if close >= 0 else end
+            elif html[lt + 1 : lt + 2] in ("!", "?", "/"):
+                close = html.find(">", lt)
+                at = close + 1 if close >= 0 else end
+            else:
+                self._say("<")
+                at = lt + 1
+
+    def _say(self, text: str) -> None:
+        self._text.append(text)
+
+    def _flush(self) -> None:
+        if not self._text:
+            return
+        text = "".join(self._text)
+        self._text = []
+        if "&" in text:
+            text = entities.unescape(text)
+        text = _SPACE.sub(" ", text).strip()
+        if text:
+            flags, path = self._open[-1][2:4] if self._open else (0, 0)
+            self._place += 1
+            self.blocks.append((path, flags, text))
 
     def _close(self, at: int) -> None:
-        if any(tag in _BLOCK for tag, *_ in self.open[at:]):
-            self.flush()
-        del self.open[at:]
+        if any(e[1] for e in self._open[at:]):
+            self._flush()
+        for tag, *_ in self._open[at:]:
+            self._at[tag].pop()
+        del self._open[at:]
 
-    def handle_starttag(self, tag, attrs):
-        if tag in _BLOCK:
-            self.flush()
+    def _end(self, tag: str) -> None:
+        if tag == "br":
+            self._flush()
+        at = self._at.get(tag)
+        # An inline element that ends inside a later block leaves the block open.
+        if at and (tag in _BLOCK or tag in _SKIP or at[-1] > self._open[-1][4]):
+            self._close(at[-1])
+
+    def _start(self, tag: str, rest: str) -> None:
+        block = tag in _BLOCK
+        if block:
+            self._flush()
         if tag in _VOID:
             return
-        if tag in _ENDS_P or tag in _CLOSES:
+        if self._open and (tag in _CLOSES or tag in _ENDS_P):
             # An open p, or a sibling of its kind, ends here; the inline elements in it too.
-            closing = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for at in range(len(self.open) - 1, -1, -1):
-                own = self.open[at][0]
-                if own in closing:
-                    self._close(at)
-                    break
-                if own in _BLOCK:
-                    break
-        _, left_out, region, path = self._state()
-        attrs = dict(attrs)
-        names = _names(attrs)
-        in_article = self.regions[region] != "page"
-        left_out = left_out or tag in _SKIP or tag == "header" and not in_article or (attrs.get("role") or "").lower() in _ROLES
-        left_out = left_out or "hidden" in attrs or attrs.get("aria-hidden") == "true" or tag not in ("body", "html") and _is_chrome(names)
-        if not left_out and not in_article:
-            kind = ""
-            if tag == "article":
-                kind = "article"
-            elif tag == "main" or attrs.get("role") == "main":
-                kind = "main"
-            elif attrs.get("itemprop") == "articleBody" or names & _CONTENT and tag in ("div", "section", "td"):
-                kind = "content"
-            if kind:
-                self.regions.append(kind)
-                region = len(self.regions) - 1
-        elif not left_out and tag == "article" and self.regions[region] in ("main", "content"):
-            self.regions.append("article")
-            region = len(self.regions) - 1
-        step = tag + ("." + ".".join(sorted(names)) if names and tag not in ("body", "html") else "")
-        self.open.append((tag, left_out, region, f"{path}/{step}" if tag in _BLOCK else path))
-
-    def handle_endtag(self, tag):
-        if tag == "br":
-            self.flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._close(at)
-                return
-
-    def handle_data(self, data):
-        if not self._state()[1]:
-            self.text.append(data)
-
-
-def page_blocks(html: str) -> tuple[list[tuple[str, int, str]], list[str]]:
-    """(blocks, kinds of regions) of a page."""
-    page = _Page()
-    page.feed(html)
-    page.close()
-    page.flush()
-    return page.blocks, page.regions
-
-
-def _region(blocks, kinds, template) -> list[tuple[str, int, str]]:
-    """Blocks of the page's main region."""
-    size: Counter = Counter()
-    for path, region, text in blocks:
-        if (path, text) not in template:
-            size[region] += len(text)
-    for kind in ("article", "main", "content"):
-        own = [r for r in size if kinds[r] == kind and size[r]]
+            near = self._open[-1][4]
+            own = self._open[near][0] if near >= 0 else ""
+            if own in _CLOSES.get(tag, ()) or own == "p" and tag in _ENDS_P:
+                self._close(near)
+        _, _, flags, path, near = self._open[-1] if self._open else ("", False, 0, 0, -1)
+        attrs = _attributes(rest) if rest and _READ.search(rest) else {}
+        names = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().replace("_", "-").split()) if attrs else set()
+        role = attrs.get("role", "").lower()
+        inside = flags & (MAIN | ARTICLE | CONTENT)
+        kind = 0
+        if tag == "main" or role == "main":
+            kind = MAIN
+        elif tag == "article":
+            kind = ARTICLE
+        elif attrs.get("itemprop") == "articleBody" or names & _CONTENT and tag in ("div", "section", "td"):
+            kind = CONTENT
+        if tag in _SKIP or tag == "header" and not inside or role in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+            flags |= OUT
+        if names and tag not in ("body", "html") and not names & _CONTENT:
+            if names & _CHROME:
+                flags |= OUT
+            elif any(part in _CHROME for n in names for part in n.split("-")):
+                flags |= LOOSE
+        if tag == "form":
+            flags |= FORM
+        if flags & OUT:
+            kind = 0
+        elif kind:
+            flags = (flags | kind) & ~(FORM | LOOSE)
+        if tag in ("h1", "h2"):
+            flags |= HEADING
+        if block:
+            step = tag + ("." + ".".join(sorted(names)) if names and tag not in ("body", "html") else "")
+            key = (path, step)
+            own = self._known.get(key)
+            if own is None:
+                own = self._known[key] = xxhash.xxh3_64_intdigest(step, path)
+            self._place += 1
+            found = self.elements.get(own)
+            if found is None:
+                self.elements[own] = [path, 1, self._place, kind]
+            else:
+                found[1] += 1
+            path, near = own, len(self._open)
+            if own in self.slots:
+                flags = (flags | SLOT) & ~FORM
+        self._open.append((tag, block, flags, path, near))
+        self._at.setdefault(tag, []).append(len(self._open) - 1)
+
+
+def text_token(path: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text, path ^ 1)
+
+
+def body_of(page: Page) -> int:
+    """What a page is told apart by in the deduction: its longest block, of those not left out if there are any."""
+    return xxhash.xxh3_64_intdigest(max((t for _, flags, t in page.blocks if not flags & OUT), key=len, default="") or max((t for *_, t in page.blocks), key=len, default=""))
+
+
+def tokens_of(page: Page) -> list[tuple[int, int, int, int, int, int]]:
+    """(token, parent, times, first place, kind, characters) of a page; kind is -1 for texts.
+
+    An element's characters are those of all blocks in it.
+    """
+    chars: Counter = Counter()
+    texts: dict[int, list] = {}
+    for at, (path, _, text) in enumerate(page.blocks):
+        chars[path] += len(text)
+        token = text_token(path, text)
+        if token in texts:
+            texts[token][1] += 1
+        else:
+            texts[token] = [path, 1, at, len(text)]
+    for path in reversed(page.elements):  # inner elements are opened after outer ones
+        chars[page.elements[path][0]] += chars[path]
+    out = [(path, parent, times, place, kind, chars[path]) for path, (parent, times, place, kind) in page.elements.items()]
+    return out + [(token, path, times, at, -1, n) for token, (path, times, at, n) in texts.items()]
+
+
+class Template:
+    """Of one host: text tokens, the main slot's path, and its class in order."""
+
+    def __init__(self, texts: frozenset[int], slot: int, order: tuple[int, ...], heading: bool):
+        self.texts, self.slot, self.order, self.heading = texts, slot, order, heading
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.slot, int(self.heading), len(self.order), *self.order, *sorted(self.texts)], np.uint64).tobytes()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Template:
+        slot, heading, n, *rest = np.frombuffer(blob, np.uint64).tolist()
+        return cls(frozenset(rest[n:]), slot, tuple(rest[:n]), bool(heading))
+
+
+def template_of(tokens: list[dict]) -> Template | None:
+    """Of a host's frequent tokens: dicts of token, parent, vector, once, first, kind, chars."""
+    texts = [t for t in tokens if t["kind"] < 0]
+    elements = {t["token"]: t for t in tokens if t["kind"] >= 0}
+    mass = {p: e["chars"] for p, e in elements.items()}
+    for t in texts:  # what all pages say is in no slot
+        at, seen = t["parent"], 0
+        while at in mass and seen <= len(mass):
+            mass[at] -= t["chars"]
+            at, seen = elements[at]["parent"], seen + 1
+    inner: dict[int, list[int]] = {}
+    for p, e in elements.items():
+        inner.setdefault(e["parent"], []).append(p)
+    roots = [p for p, e in elements.items() if e["parent"] not in elements]
+    total = sum(mass[p] for p in roots)
+    if total <= 0:
+        return None
+    slot, heading = 0, False
+    for kind in (MAIN, ARTICLE, CONTENT):
+        own = [p for p, e in elements.items() if e["kind"] == kind and mass[p] >= MAIN_SHARE * total]
         if own:
-            best = max(own, key=lambda r: (size[r], -r))
-            return [b for b in blocks if b[1] == best]
-    # No container says so: the one whose slots hold most text, its blocks lying side by side in it.
+            slot = max(own, key=lambda p: (mass[p], -elements[p]["first"]))
+            break
+    else:
+        at = max(roots, key=lambda p: (mass[p], p))
+        while True:
+            slot = at
+            within = [p for p in inner.get(at, []) if elements[p]["once"]]
+            at = max(within, key=lambda p: (mass[p], p), default=0)
+            if not within or mass[at] < INNER_SHARE * mass[slot]:
+                break
+        heading = True
+    vector = elements[slot]["vector"]
+    order = sorted((t for t in elements.values() if t["vector"] == vector), key=lambda t: t["first"])
+    return Template(frozenset(t["token"] for t in texts), slot, tuple(t["token"] for t in order), heading)
+
+
+def fits(page: Page, template: Template) -> bool:
+    """Whether a page has the main slot's class, in order."""
+    at = [page.elements[p][2] if p in page.elements else 0 for p in template.order]
+    return bool(at) and at[0] > 0 and all(a < b for a, b in zip(at, at[1:]))
+
+
+def slot_text(page: Page, template: Template) -> str:
+    keep = lambda flags: flags & SLOT or template.heading and flags & HEADING
+    return "\n".join(t for p, flags, t in page.blocks if keep(flags) and not flags & (OUT | FORM) and text_token(p, t) not in template.texts)
+
+
+def page_text(page: Page, texts: frozenset[int] = frozenset()) -> str:
+    """Main text by the page's own elements."""
+    said = [b for b in page.blocks if not b[1] & OUT and (not texts or text_token(b[0], b[2]) not in texts)]
+    size = lambda kind: sum(len(t) for _, flags, t in said if flags & kind and not flags & FORM)
+    main, article, content = size(MAIN), size(ARTICLE), size(CONTENT)
+    kind = MAIN if 2 * main >= article and main else ARTICLE if 2 * article >= content and article else CONTENT if content else 0
+    if kind:
+        return "\n".join(t for _, flags, t in said if flags & kind and not flags & FORM)
+    # No region: the container whose blocks hold most text.
+    wrapped = all(flags & FORM for _, flags, _ in page.blocks)  # a form around the whole page is no form of it
+    plain = [b for b in said if not b[1] & (LOOSE if wrapped else LOOSE | FORM)]
     parents: Counter = Counter()
-    for path, _, text in blocks:
-        if (path, text) not in template:
-            parents[path.rpartition("/")[0]] += len(text)
+    for path, _, text in plain:
+        parents[page.elements[path][0] if path in page.elements else 0] += len(text)
     if not parents:
-        return []
+        return ""
     top = max(parents, key=lambda p: (parents[p], p))
-    return [b for b in blocks if b[0].rpartition("/")[0] == top or b[0].startswith(top + "/")]
-
-
-def template_of(pages: list[list[tuple[str, int, str]]]) -> set[tuple[str, str]]:
-    """Template tokens (path, text) of a group: the valid equivalence classes."""
-    distinct = list({tuple((p, t) for p, _, t in blocks): None for blocks in pages if blocks})
-    # Copies of one article say nothing about a template: pages count by their longest block.
-    by_body: dict[str, tuple] = {}
-    for tokens in distinct:
-        by_body.setdefault(max((t for _, t in tokens), key=len), tokens)
-    distinct = list(by_body.values())
-    n = len(distinct)
-    if n < MIN_PAGES:
-        return set()
-    vectors: dict[tuple, dict[int, int]] = defaultdict(dict)
-    for k, tokens in enumerate(distinct):
-        for token, times in Counter(tokens).items():
-            vectors[token][k] = times
-    classes: dict[tuple, list] = defaultdict(list)
-    for token, vector in vectors.items():
-        if len(vector) >= MIN_SHARE * n:
-            classes[tuple(sorted(vector.items()))].append(token)
-    template = set()
-    for vector, tokens in classes.items():
-        own = set(tokens)
-        orders = {tuple(dict.fromkeys(t for t in distinct[k] if t in own)) for k, _ in vector}
-        if len(orders) == 1:  # one order; as blocks hold their paths, one nesting too
-            template |= own
-    return template
-
-
-def extract_group(pages: list[str]) -> list[str]:
-    """Main texts of pages of one host."""
-    parsed = [page_blocks(html) for html in pages]
-    template = template_of([blocks for blocks, _ in parsed])
-    out = []
-    for blocks, kinds in parsed:
-        own = _region(blocks, kinds, template)
-        out.append("\n".join(text for path, _, text in own if (path, text) not in template))
-    return out
-
-
-def _extract(table: pa.Table) -> pa.Table:
-    texts = extract_group([html or "" for html in table.column("html").to_pylist()])
-    return table.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string()))
+    within = {top} if top else set()
+    for path, (parent, *_) in page.elements.items():
+        if not top or parent in within:
+            within.add(path)
+    return "\n".join(t for p, _, t in plain if p in within or not top)
+
+
+_TOKENS = "host string, body long, token long, parent long, times long, place long, kind int, chars long"
+
+
+def _tokens(batches):
+    for batch in batches:
+        columns: list[list] = [[] for _ in range(8)]
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
+            page = Page(html.as_py() or "")
+            if not page.blocks:
+                continue
+            body = body_of(page)
+            own = tokens_of(page)
+            for column, values in zip(columns, ([host] * len(own), [body] * len(own), *zip(*own))):
+                column.extend(values)
+        names = ["host", "body", "token", "parent", "times", "place", "kind", "chars"]
+        longs = [pa.array(np.array(c, np.uint64).view(np.int64)) if n in ("body", "token", "parent") else pa.array(c, pa.int32() if n == "kind" else pa.int64()) for n, c in zip(names[1:], columns[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *longs], names)
+
+
+def _templates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    rows = [{**r, "token": r["token"] & (1 << 64) - 1, "parent": r["parent"] & (1 << 64) - 1, "vector": (r["n"], r["v1"], r["v2"])} for r in table.to_pylist()]
+    found = template_of(rows)
+    return pa.table({"host": pa.array([key[0].as_py()] if found else [], pa.string()), "template": pa.array([found.to_bytes()] if found else [], pa.binary())})
+
+
+def host_of(url: F.Column) -> F.Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
+
+
+def templates(pages: DataFrame, stash: Stash) -> DataFrame:
+    """(host, template) of pages(host, html); hosts with too few different articles have none."""
+    tokens = pages.select("host", "html").mapInArrow(_tokens, _TOKENS)
+    # Copies of an article are one place of the vectors.
+    one = tokens.groupBy("host", "token", "body").agg(
+        F.max("times").alias("times"), F.min("place").alias("place"), F.max("chars").alias("chars"), F.max("kind").alias("kind"), F.min("parent").alias("parent"))
+    vectors = one.groupBy("host", "token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("body", "times")).alias("v1"), F.bit_xor(F.xxhash64("times", "body", F.lit(7))).alias("v2"),
+        (F.max("times") == 1).alias("once"), F.min(F.struct("body", "place"))["place"].alias("first"), F.sum("chars").alias("chars"), F.max("kind").alias("kind"), F.min("parent").alias("parent"),
+    )
+    often = stash.keep(vectors.where(F.col("n") >= MIN_PAGES), "often")
+    # The token that most pages have is on all of them, as html and body are.
+    bodies = often.groupBy("host").agg(F.max("n").alias("bodies"))
+    return often.join(bodies, "host").where(F.col("n") >= MIN_SHARE * F.col("bodies")).drop("bodies").groupBy("host").applyInArrow(_templates, "host string, template binary")
+
+
+def _extract(batches):
+    for batch in batches:
+        texts, by = [], []
+        seen: dict[bytes, Template] = {}
+        for html, blob in zip(batch.column("html"), batch.column("template")):
+            blob, text, own = blob.as_py(), html.as_py() or "", None
+            if blob is not None:
+                own = seen.get(blob) or seen.setdefault(blob, Template.from_bytes(blob))
+            page = Page(text, frozenset([own.slot]) if own else frozenset())
+            by.append(own is not None and fits(page, own))
+            texts.append(slot_text(page, own) if by[-1] else page_text(page, own.texts if own else frozenset()))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(by, pa.bool_())], ["page_id", "url", "text", "by_template"])
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """(page_id, url, text) of every page."""
+    """(page_id, url, text, by_template) of every page."""
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
+    own = own.withColumn("host", host_of(F.col("url")))
     stash = Stash(pages.sparkSession, "hosts")
-    counts = own.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    large = stash.keep(counts.where("groups > 1"), "large")
-    few = large.count() <= BROADCAST_HOSTS
-    dealt = own.withColumn("host", host).join(F.broadcast(large) if few else large, "host", "left")
-    part = F.when(F.col("groups") > 1, F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).otherwise(F.lit(0)).alias("part")
-    return (
-        dealt.select("host", part, "page_id", "url", "html").repartition("host", "part")
-        .groupBy("host", "part").applyInArrow(_extract, "page_id long, url string, text string")
-    )
+    found = stash.keep(templates(own, stash), "templates")
+    few = found.count() <= BROADCAST_HOSTS
+    stash.drop("often")
+    return own.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(
+        _extract, "page_id long, url string, text string, by_template boolean")

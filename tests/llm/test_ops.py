@@ -330,7 +330,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def text_of(html):
-    return html_extract.extract_group([html])[0]
+    return html_extract.page_text(html_extract.Page(html))
 
 
 @pytest.mark.parametrize(("body", "text"), [
@@ -340,35 +340,131 @@ def text_of(html):
     ("<div><p>plain text of a page without any marks</p><p>and more</p></div>", "plain text of a page without any marks\nand more"),
     ("", ""), ("<article></article>", ""),
     ("<article><header><h1>Own title</h1></header><p>t</p><div class='share'>Share</div></article>", "Own title\nt"),
+    ("<article><p>a</p><div class='search-tips'>tips</div><section class='hidden-history'><p>past</p></section></article>", "a\ntips\npast"),
+    ("<article><p>one</p></article><p>between</p><article><p>two</p></article>", "one\ntwo"),
+    ("<main><h1>Title</h1><article><p>short</p></article><p>The long text of the main element</p></main>", "Title\nshort\nThe long text of the main element"),
+    ("<form action=x><main><p>in a form</p></main></form>", "in a form"),
+    ("<article><p>x < y, a <b title='>'>bold</b> </i>word<p>more</article>", "x < y, a bold word\nmore"),
+    ("<article><b><p>one</b> two</p></article>", "one two"),
 ])
 def test_main_text(body, text):
     assert text_of(PAGE % body) == text
 
 
-def test_template_slots_leave_what_all_pages_say():
+@pytest.mark.parametrize(("html", "text"), [
+    ("<form><p>all in a form</p><p>and more</p></form>", "all in a form\nand more"), ("plain", "plain"), ("a <!-- b --> c <!-- never ends", "a c"), ("<p title='never ends>x</p>", "x"),
+    ("<", "<"), ("a<3 &lt;b&gt; <!doctype x>d", "a<3 <b> d"), ("<script>var a = '<p>no</p>';</script><p>yes", "yes"),
+])
+def test_text_of_pages_without_regions(html, text):
+    assert text_of(html) == text
+
+
+def pages_of(spark, pages, host="h.example"):
+    return spark.createDataFrame([(k, f"http://{host}/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+
+
+def texts_of(df):
+    return [r["text"] for r in sorted(html_extract.extract(df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_template_slots_leave_what_all_pages_say(spark):
     pages = [PAGE % f"<article><p>Read our rules first</p><h1>Title {k}</h1><p>Body of page number {k}, which is a longer text</p><p>Thanks for reading</p></article>" for k in range(6)]
-    assert html_extract.extract_group(pages) == [f"Title {k}\nBody of page number {k}, which is a longer text" for k in range(6)]
+    assert texts_of(pages_of(spark, pages)) == [f"Title {k}\nBody of page number {k}, which is a longer text" for k in range(6)]
 
 
-def test_copies_of_a_page_are_no_template():
+def test_templates_find_main_slots_without_marks(spark):
+    page = "<body><div><a>Home</a><a>News</a></div><h1>Title %d</h1><div class=x><p>The long text number %d of the page, which is all of its own</p><p>%s</p></div><div class=y>About us, as all pages say it</div></body>"
+    pages = [page % (k, k, "more " * (k + 3)) for k in range(8)]
+    assert texts_of(pages_of(spark, pages)) == [f"Title {k}\nThe long text number {k} of the page, which is all of its own\n{('more ' * (k + 3)).strip()}" for k in range(8)]
+
+
+def test_copies_of_a_page_are_no_template(spark):
     page = PAGE % "<article><h1>Same</h1><p>The same long body on all pages</p></article>"
-    assert set(html_extract.extract_group([page] * 10)) == {"Same\nThe same long body on all pages"}
+    assert set(texts_of(pages_of(spark, [page] * 10))) == {"Same\nThe same long body on all pages"}
+
+
+def templates_by_hand(pages):
+    """Template of one host's pages from full occurrence vectors, None without one."""
+    H = html_extract
+    bodies, vectors = {}, {}
+    for html in pages:
+        page = H.Page(html)
+        if not page.blocks:
+            continue
+        body = bodies.setdefault(H.body_of(page), {})
+        for token, parent, times, place, kind, chars in H.tokens_of(page):
+            old = body.get(token, (0, 1 << 60, 0, kind, parent))
+            body[token] = (max(old[0], times), min(old[1], place), max(old[2], chars), kind, parent)
+    if len(bodies) < H.MIN_PAGES:
+        return None
+    for body in bodies:
+        for token, found in bodies[body].items():
+            vectors.setdefault(token, {})[body] = found
+    rows = []
+    for token, own in vectors.items():
+        if len(own) >= H.MIN_SHARE * len(bodies):
+            least = min(own, key=lambda b: b - (1 << 64 if b >> 63 else 0))
+            rows.append({
+                "token": token, "parent": own[least][4], "vector": tuple(sorted((b, f[0]) for b, f in own.items())), "once": all(f[0] == 1 for f in own.values()),
+                "first": own[least][1], "chars": sum(f[2] for f in own.values()), "kind": own[least][3]})
+    return H.template_of(rows)
+
+
+def test_templates_equal_brute_force(spark):
+    from tessera.llm.stash import Stash
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(k, "x.example", PAGE % f"<article><h1>T{k}</h1><p>Long text of page {k} {'again ' * (k % 4)}</p></article>") for k in range(9)]
+    own = df.select(html_extract.host_of(df["url"]).alias("host"), "html").unionByName(spark.createDataFrame([(h, p) for _, h, p in rows], "host string, html string"))
+    found = {r["host"]: bytes(r["template"]) for r in html_extract.templates(own, Stash(spark, "t")).collect()}
+    hosts = {}
+    for r in own.collect():
+        hosts.setdefault(r["host"], []).append(r["html"] or "")
+    want = {h: t.to_bytes() for h, pages in hosts.items() if (t := templates_by_hand(pages))}
+    assert found == want and len(want) > 10
+    out = {r["page_id"]: r for r in html_extract.extract(df).collect()}
+    through = 0
+    for r in df.withColumn("host", html_extract.host_of(df["url"])).collect():
+        t = want.get(r["host"])
+        t = html_extract.Template.from_bytes(t) if t else None
+        page = html_extract.Page(r["html"] or "", frozenset([t.slot]) if t else frozenset())
+        by = t is not None and html_extract.fits(page, t)
+        through += by
+        assert out[r["page_id"]]["by_template"] == by
+        assert out[r["page_id"]]["text"] == (html_extract.slot_text(page, t) if by else html_extract.page_text(page, t.texts if t else frozenset()))
+    of_large = sum(len(pages) for h, pages in hosts.items() if len(pages) >= 4) - 9
+    assert through >= 0.9 * of_large
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 100_000, "<b>" * 50_000 + "<p>x</p></i>" * 25_000, "<a b='" * 50_000, "<div>" * 50_000 + "</span>" * 50_000, "<p>x<!--" * 20_000, "</p><p>&amp;" * 50_000])
+def test_large_and_deep_pages(html):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    page = html_extract.Page(html)
+    html_extract.page_text(page)
+    html_extract.tokens_of(page)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.perf_counter() - began < 30
+    tracemalloc.stop()
 
 
 def test_html_of_tables(spark):
-    schema = "page_id long, url string, html string, host string, part int"
+    schema = "page_id long, url string, html string, host string, part int, template string, text string, by_template int"
     rows = [(1, None, None, "x", 1), (2, "http://a.b/c", "", "x", 1), (None, "http://a.b/d", "<p>t", None, None), (3, "http://a.b/d", PAGE % ("<article><p>" + LONG + "</article>"), "", 0), (3, "http://a.b/d", "<p>t", "", 0)]
-    df = spark.createDataFrame(rows, schema)
-    out = {(r["page_id"], r["url"]): r["text"] for r in html_extract.extract(df).collect()}
-    assert out[1, None] == "" and out[2, "http://a.b/c"] == "" and out[None, "http://a.b/d"] == "t" and html_extract.extract(df).count() == 5
+    df = spark.createDataFrame([(*r, "t", "u", 5) for r in rows], schema)
+    out = {(r["page_id"], r["url"], r["text"]) for r in html_extract.extract(df).collect()}
+    assert out == {(1, None, ""), (2, "http://a.b/c", ""), (None, "http://a.b/d", "t"), (3, "http://a.b/d", LONG.strip()), (3, "http://a.b/d", "t")} and html_extract.extract(df).count() == 5
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
-def test_large_hosts_are_split(spark, monkeypatch):
-    monkeypatch.setattr(html_extract, "GROUP", 8)
+@pytest.mark.parametrize("hosts", [20_000, 0])
+def test_templates_by_broadcast_and_by_shuffle(spark, monkeypatch, hosts):
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", hosts)
     rows = [(k, f"https://u@Big.example:8080/{k}", PAGE % f"<article><p>Page {k}</p></article>") for k in range(60)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted((r["page_id"], r["text"]) for r in out) == [(k, f"Page {k}") for k in range(60)]
+    assert sorted((r["page_id"], r["text"], r["by_template"]) for r in out) == [(k, f"Page {k}", True) for k in range(60)]
 
 
 # 7 decontamination
