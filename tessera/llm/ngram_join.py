@@ -7,22 +7,29 @@ document the class of documents it reaches by links.
 How it runs
 -----------
 1. Every text becomes a set and a signature of the set; equal sets are one
-   *representative* from here on, so copies cost one row each.
+   *representative* from here on, so copies cost one row each. Should two
+   unlike sets share a 64-bit signature, which sizes and a second sum of 64
+   bits tell, they get others.
 2. Shingles are ordered by how often they repeat (counted on all documents),
    then by hash. Two linked sets share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each, so only these become postings.
-   Documents that share such a shingle form a *cell*.
+   Documents that share such a shingle form a *cell*. Postings of a shingle
+   that very many documents hold are dealt among buckets.
    Each set also has a parity sketch of 1/32 of its size at most: the bits in
    which two sketches differ bound the shingles in which the sets differ, so
    most pairs that cannot link go before any set is read.
-3. Each cell has a pivot, and a set is compared with the pivots it meets most
-   often; a few turns with other pivots follow. The verified links give the
-   *groups*: near copies fall together here, however many there are, and what
-   this step misses is left to the next.
-4. Each group, in parts of bounded size, stores the union of its members'
-   shingles. A document that shares a cell with another group is a query of
-   it: ``|query & union| >= 0.8 |query|`` is needed for any link. Only groups
-   that pass are opened and their members compared one by one.
+3. The sets of documents in cells are made once and written. Each joins the
+   group of one of its cells, the one of least hash, which near copies mostly
+   share. The *token-group matrix* has one row a group: its first ``HUB``
+   members, compared among themselves, and the union of their shingles. Every
+   further member is a query of its group: ``|query & union| >= 0.8 |query|`` is
+   needed for any link, and only then the row is opened and its members
+   compared. A second turn with other cells follows; the verified links give
+   groups that hold near copies together, however many they are.
+4. Those groups, in parts of bounded size, become matrix rows again. A document
+   that shares a cell with another group is a query of it, bounded by the union
+   of each part and compared with the members of the parts that pass. Cells of
+   very many documents are compared in row and column blocks.
 5. Links of 3 and 4 give the components.
 
 No pair is lost: linked sets share a cell; either they are in one group
@@ -30,9 +37,13 @@ already or one of them is a query of the other's group. No pairs within a
 group are listed.
 
 Defined results: a null or empty text, or one without words, has no shingle and
-its own doc_id as component. Repeated rows each give a row, in one component.
-A null doc_id counts as no id: a component takes the smallest id it has.
-Shingles and sets are compared by 64-bit hashes.
+its own doc_id as component. Repeated rows each give a row, in one component;
+rows of one doc_id with unlike texts each have their own set, and a component
+is named by the smallest id in it, so that they may be in different ones. A
+null doc_id counts as no id: a component takes the smallest id it has. Very
+long texts are taken whole, in blocks of their own. Ties of order are decided
+by hash and change no result. Other columns are not read, so their names can't
+clash. An empty table gives no row. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -51,19 +62,21 @@ from .stash import Stash
 SHINGLE = 5
 #: Similarity needed, in percent.
 PERCENT = 80
-#: Shingles whose order is told apart by frequency; the rest count as rare. A
-#: fixed bound of what is broadcast (16 bytes each), without effect on results.
-COMMON = 1 << 18
-#: Postings aimed at in one bucket and members in one part of a group.
-BUCKET, PART = 500_000, 128
+#: Shingles whose order is told apart by frequency: one of ``COMMON_EACH`` in all, between
+#: these bounds; the rest count as rare. They are broadcast, 17 bytes each. No effect on results.
+COMMON_EACH, COMMON_LEAST, COMMON_MOST = 4096, 1 << 18, 1 << 23
+#: Documents from which a shingle's postings are dealt among buckets, all of them kept.
+HOT = 2_000
+#: Postings aimed at in one bucket, members of a hub, and members in one part of a group.
+BUCKET, HUB, PART = 500_000, 32, 128
+#: Members of a cell that are compared in one block.
+CELL = 256
 #: Shingles in which repeats are counted at once; it bounds memory and shapes the order alone.
 RUN = 1_500_000
 #: Documents at least in a task that counts, where partitions are smaller.
 TASK = 3_000
-#: Pivots that a set is compared with before groups are known; all else is decided with groups.
-PIVOTS = 3
-#: Times that sets are compared with pivots.
-TURNS = 3
+#: Cells by which a set joins a group before groups of links are known; all else is decided with those.
+TURNS = 2
 #: Queries aimed at in one task for one part of a group; a part with more is copied and they are dealt.
 QUERIES = 500
 #: Parts with copies up to which their list is broadcast.
@@ -99,12 +112,17 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _sets(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, shingles, offsets, signature by row)."""
+def _sets(texts, alike: frozenset[int] = frozenset()) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, shingles, offsets, signature by row, second sum by row)."""
     for first, data, offsets in tv.blocks(texts):
         words = tv.Words(data, offsets, fold=tv.FOLD)
         h, at = tv.shingle_sets(words, SHINGLE)
-        yield first, h, at, tv.mix(tv.row_sums(tv.mix(h ^ _U(0x5851F42D4C957F2D)), at))
+        s1 = tv.mix(tv.row_sums(tv.mix(h ^ _U(0x5851F42D4C957F2D)), at))
+        s2 = tv.mix(tv.row_sums(tv.mix(h + _U(0x14057B7EF767814F)), at) + np.diff(at).astype(np.uint64))
+        if alike:
+            again = np.isin(s1.view(np.int64), np.array(sorted(alike), np.int64))
+            s1 = np.where(again, tv.mix(s1 ^ s2), s1)
+        yield first, h, at, s1, s2
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -131,8 +149,8 @@ def sketches_allow(n1: int, a: bytes, n2: int, b: bytes) -> bool:
 
 
 def _profile(batches):
-    """Rows (doc_id, n, s1, sketch) of documents, and (n, s1) as count and shingle of what repeats in a run of them."""
-    names = ["doc_id", "n", "s1", "sketch", "common"]
+    """Rows (doc_id, n, s1, s2, sketch) of documents, and (n, s1) as count and shingle of what repeats in a run of them."""
+    names = ["doc_id", "n", "s1", "s2", "sketch", "common"]
     pending: list[np.ndarray] = []
     held = 0
 
@@ -140,16 +158,16 @@ def _profile(batches):
         h, n = np.unique(np.concatenate(pending), return_counts=True)
         h, n = h[n > 1], n[n > 1]
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(h), pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.binary()), pa.array(np.ones(len(h), bool))], names
+            [pa.nulls(len(h), pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), pa.array(np.ones(len(h), bool))], names
         )
 
     for batch in batches:
-        for first, h, at, s1 in _sets(batch.column("text")):
+        for first, h, at, s1, s2 in _sets(batch.column("text")):
             n = np.diff(at)
             pending.append(h)
             held += len(h)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(sketches(h, at), pa.binary()), pa.array(np.zeros(len(n), bool))], names
+                [batch.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sketches(h, at), pa.binary()), pa.array(np.zeros(len(n), bool))], names
             )
         if held > RUN:
             yield repeated()
@@ -158,14 +176,22 @@ def _profile(batches):
         yield repeated()
 
 
+def _mixed(batches):
+    """Rows of sets that share a signature with unlike sets, with another one."""
+    for batch in batches:
+        s1, s2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+        own = [batch.column("doc_id"), batch.column("n"), pa.array(tv.mix(s1 ^ s2).view(np.int64)), batch.column("s2"), batch.column("sketch")]
+        yield pa.RecordBatch.from_arrays(own, ["doc_id", "n", "s1", "s2", "sketch"])
+
+
 def _postings(common, buckets: int):
     """Postings of the sets that are new in this task, one packed row for a bucket and block."""
 
     def run(batches):
-        tokens, ranks = common.value
+        tokens, ranks, hot, alike = common.value
         seen: set[int] = set()
         for batch in batches:
-            for _, h, at, s1 in _sets(batch.column("text")):
+            for _, h, at, s1, _ in _sets(batch.column("text"), alike):
                 n = np.diff(at)
                 fresh = np.zeros(len(n), bool)
                 for r in np.flatnonzero(n):
@@ -173,20 +199,22 @@ def _postings(common, buckets: int):
                         seen.add(key)
                         fresh[r] = True
                 rows = np.repeat(np.arange(len(n)), n)
-                order = h >> _U(1)
+                order, dealt = h >> _U(1), np.zeros(len(h), bool)
                 if len(tokens):
                     near = np.searchsorted(tokens, h)
                     near[near == len(tokens)] = 0
                     hit = tokens[near] == h
                     order[hit] = (_U(1) << _U(63)) + ranks[near[hit]]
+                    dealt[hit] = hot[near[hit]]
                 use = fresh[rows]
-                rows, h, order = rows[use], h[use], order[use]
+                rows, h, order, dealt = rows[use], h[use], order[use], dealt[use]
                 by = np.lexsort((order, rows))
-                rows, h = rows[by], h[by]
+                rows, h, dealt = rows[by], h[by], dealt[by]
                 place = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 use = place <= (n - least_overlap(n))[rows]
-                rows, h, place = rows[use], h[use], place[use]
-                bucket = (tv.mix(h) % _U(buckets)).astype(np.int64)
+                rows, h, place, dealt = rows[use], h[use], place[use], dealt[use]
+                bucket = (tv.mix(np.where(dealt, h ^ tv.mix(s1[rows]), h)) % _U(buckets)).astype(np.int64)
+                place = np.where(dealt, -1, place)
                 by = np.argsort(bucket, kind="stable")
                 rows, h, place, bucket = rows[by], h[by], place[by], bucket[by]
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -194,17 +222,17 @@ def _postings(common, buckets: int):
                 for lo, hi in zip(cut, [*cut[1:], len(bucket)]):
                     own, local = np.unique(rows[lo:hi], return_inverse=True)
                     blobs.append(b"".join(x.tobytes() for x in (
-                        np.array([len(own), hi - lo], np.int64), s1[own], n[own], h[lo:hi], local.astype(np.uint32), place[lo:hi].astype(np.uint32))))
+                        np.array([len(own), hi - lo], np.int64), s1[own], n[own], h[lo:hi], local.astype(np.uint32), place[lo:hi].astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    """Shingle, signature, set size and place in the set's order of each posting in one packed row."""
+    """Shingle, signature, set size and place in the set's order (-1 where dealt) of each posting in one packed row."""
     own, k = np.frombuffer(blob, np.int64, 2).tolist()
     at, out = 16, []
-    for kind, size in ((np.uint64, own), (np.int64, own), (np.uint64, k), (np.uint32, k), (np.uint32, k)):
+    for kind, size in ((np.uint64, own), (np.int64, own), (np.uint64, k), (np.uint32, k), (np.int32, k)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += size * np.dtype(kind).itemsize
     sig, n, h, local, place = out
@@ -240,72 +268,102 @@ def _cells(table: pa.Table) -> pa.Table:
     """(cell, sig): members of the cells of one bucket that could link with another one."""
     h, s, n, place = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist())))
     order = np.lexsort((s, h))
-    h, s, n, rest = h[order], s[order], n[order], (n - place)[order]
+    h, s, n, rest, dealt = h[order], s[order], n[order], (n - place)[order], place[order] < 0
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    h, s, n, rest = h[new], s[new], n[new], rest[new]
+    h, s, n, rest, dealt = h[new], s[new], n[new], rest[new], dealt[new]
     _, first, size = np.unique(h, return_index=True, return_counts=True)
-    use = _partnered(first, size, n, rest)
+    # Of a dealt shingle only some members are here: all of them stay.
+    whole = ~dealt[first]
+    use = _partnered(first[whole], size[whole], n, rest) | dealt
     return pa.table({"cell": h[use].view(np.int64), "sig": s[use].view(np.int64)})
 
 
-def _pack_sets(batches):
-    """(sig, n, tokens): the sets of documents, as bytes."""
-    for batch in batches:
-        for _, h, at, s1 in _sets(batch.column("text")):
-            blobs = [h[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], ["sig", "n", "tokens"])
+def _pack_sets(alike: frozenset[int]):
+    """(sig, tokens): the sets of documents, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for _, h, at, s1, _ in _sets(batch.column("text"), alike):
+                blobs = [h[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(blobs, pa.binary())], ["sig", "tokens"])
+
+    return run
+
+
+def _hub_links(sets: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Component of each of a few sets, and the links that make them; a pair already connected isn't compared."""
+    label, links = np.arange(len(sets)), []
+    for k in range(1, len(sets)):
+        for j in range(k):
+            if label[j] != label[k] and linked(sets[k], sets[j]):
+                links.append((k, j))
+                label[label == label[k]] = label[j]
+    return label, links
+
+
+def _matrix_row(compare: bool):
+    """(g, union, sizes, labels, sigs, tokens, a, b) of a group's members: a row of the matrix.
+
+    ``a`` and ``b`` are the links found among the members, which are compared
+    only if they are not of one component already.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = dict(zip(table.column("sig").to_pylist(), table.column("tokens").to_pylist()))
+        sigs = sorted(own)
+        sets = [np.frombuffer(own[s], np.uint64) for s in sigs]
+        label, links = _hub_links(sets) if compare else (np.zeros(len(sets), np.int64), [])
+        alone = compare and table.column("queries")[0].as_py() == 0  # no query will ask
+        union = [] if alone else np.unique(np.concatenate(sets))
+        pack = lambda x, kind: pa.array([np.asarray(x, kind).tobytes()], pa.binary())
+        return pa.table({
+            "g": pa.array([key[0].as_py()], pa.int64()), "union": pack(union, np.uint64), "sizes": pack([] if alone else [len(t) for t in sets], np.int64), "labels": pack(label, np.int64),
+            "sigs": pack(sigs, np.int64), "tokens": pa.array([b"" if alone else b"".join(own[s] for s in sigs)], pa.binary()),
+            "a": pa.array([[sigs[k] for k, _ in links]], pa.list_(pa.int64())), "b": pa.array([[sigs[j] for _, j in links]], pa.list_(pa.int64())),
+        })
+
+    return run
+
+
+_ROW = "g long, union binary, sizes binary, labels binary, sigs binary, tokens binary, a array<long>, b array<long>"
 
 
-def _open_groups(batches):
-    """Links (a, b) of queries with members of the groups that the bound leaves.
+def _open_rows(batches):
+    """Links (a, b) of queries with members of the matrix rows that the bound leaves.
 
-    Rows come sorted by group, members first. Held at once: one part of a group.
+    Rows come sorted by group, the matrix row first. Held at once: one matrix
+    row. A query needs one link with each component of the members.
     """
-    group, members, union = None, [], np.zeros(0, np.uint64)
-    ready = False
+    union, members = np.zeros(0, np.uint64), []
     for batch in batches:
         a, b = [], []
-        for g, query, sig, blob in zip(batch.column("g").to_pylist(), batch.column("query").to_pylist(), batch.column("sig").to_pylist(), batch.column("tokens")):
+        for asks, sig, blob, own in zip(batch.column("query").to_pylist(), batch.column("sig").to_pylist(), batch.column("tokens"), batch.column("row")):
             tokens = np.frombuffer(blob.as_buffer(), np.uint64)
-            if g != group:
-                group, members, ready = g, [], False
-            if not query:
-                members.append((sig, tokens))
+            if not asks:
+                row = own.as_py()
+                union = np.frombuffer(row["union"], np.uint64)
+                ends = np.cumsum(np.frombuffer(row["sizes"], np.int64))
+                label, sigs = np.frombuffer(row["labels"], np.int64), np.frombuffer(row["sigs"], np.int64)
+                members = [(int(label[k]), int(sigs[k]), tokens[(ends[k - 1] if k else 0) : ends[k]]) for k in range(len(ends))]
                 continue
-            if not ready:
-                union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([t for _, t in members])) if members else union[:0]
-                ready = True
-            if len(members) > 1 and 100 * shared(tokens, union) < PERCENT * len(tokens):
+            if 100 * shared(tokens, union) < PERCENT * len(tokens):
                 continue
-            for other, own in members:
-                if other != sig and linked(tokens, own):
+            done: set[int] = set()
+            for label_of, other, own_tokens in members:
+                if label_of not in done and other != sig and linked(tokens, own_tokens):
                     a.append(sig)
                     b.append(other)
-                    break
+                    done.add(label_of)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _allowed(batches):
-    """(sig, g) of pairs whose sketches leave room for a link."""
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("n", "sketch", "other_n", "other_sketch")]
-        use = [100 * min(n, m) >= PERCENT * max(n, m) and sketches_allow(n, a, m, b) for n, a, m, b in zip(*columns)]
-        yield batch.select(["sig", "g"]).filter(pa.array(use, pa.bool_()))
-
-
-def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """pairs(sig, other, g) as (sig, g), without what sketches rule out."""
-    other = marks.select(F.col("sig").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
-    return pairs.join(marks, "sig").join(other, "other").select("sig", "g", "n", "sketch", "other_n", "other_sketch").mapInArrow(_allowed, "sig long, g long")
-
-
 def _cell_queries(batches):
     """(sig, g): members of a cell as queries of the other groups that are in it.
 
     Of two groups the smaller one asks. A query goes on if some member of the
-    other group, in this cell, leaves room for a link by sketches; pairs that do
-    not are never rows. Rows come sorted by cell.
+    other group, in this block of the cell, leaves room for a link by sketches;
+    pairs that do not are never rows. Rows come sorted by block.
     """
     held: list[tuple] = []
 
@@ -325,7 +383,7 @@ def _cell_queries(batches):
 
     for batch in batches:
         found = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "sig", "g", "members", "n", "sketch"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "sig", "g", "members", "n", "sketch"))):
             if held and held[0][0] != row[0]:
                 found += asked()
                 held = []
@@ -335,40 +393,53 @@ def _cell_queries(batches):
         yield rows(list(asked()))
 
 
-def _dealt(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows (g, sig, query) of both, where a part that very many queries ask for has a copy for each ``QUERIES`` of them."""
-    copies = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1")
-    few = copies.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
-    asked = F.broadcast(copies) if few else copies
-    n = F.coalesce("copies", F.lit(1))
-    one = queries.join(asked, "g", "left").select("g", "sig", F.pmod(F.xxhash64("sig"), n).cast("int").alias("copy"), F.lit(True).alias("query"))
-    every = members.join(asked, "g", "left").select("g", "sig", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"), F.lit(False).alias("query"))
-    return every.unionByName(one).select(F.xxhash64("g", "copy").alias("g"), "sig", "query")
-
+def _checked(frame: DataFrame, bound: int) -> DataFrame:
+    """The frame, to be broadcast if it has no more rows than the bound."""
+    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
 
-def _links(queries: DataFrame, members: DataFrame, plain: DataFrame, chosen: DataFrame, parts: int) -> DataFrame:
-    """Verified links of queries(g, sig) with members(g, sig).
 
-    The sets are made anew from one document of each: chosen(sig, doc_id).
-    """
-    rows = _dealt(queries, members)
-    ids = rows.select("sig").distinct().join(chosen, "sig").where("doc_id is not null").select("doc_id").distinct()
-    few = ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    again = plain.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(plain.where("doc_id is null"))
-    sets = again.select("text").mapInArrow(_pack_sets, "sig long, n long, tokens binary").select("sig", "tokens")
-    full = rows.join(sets, "sig").select("g", "query", "sig", "tokens")
-    return full.repartition(parts, "g").sortWithinPartitions("g", "query").mapInArrow(_open_groups, "a long, b long")
+def _blocks(seen: DataFrame) -> DataFrame:
+    """seen(cell, sig, ...) with ``block``: a cell of more than ``CELL`` members in row and column blocks."""
+    large = seen.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("sides")).where("sides > 1")
+    sides = F.coalesce("sides", F.lit(1))
+    own = F.pmod(F.xxhash64("sig"), sides).cast("int")
+    dealt = seen.join(_checked(large, BROADCAST_PARTS), "cell", "left").withColumn("own", own).withColumn("side", F.explode(F.sequence(F.lit(0), sides - 1)))
+    return dealt.withColumn("block", F.xxhash64("cell", F.least("own", "side"), F.greatest("own", "side"))).drop("own", "side", "sides")
 
 
-def _pivot_pairs(grouped: DataFrame, turn: int) -> DataFrame:
-    """(sig, other, g): members of cells with a pivot of another group, which is g too; a set takes those it shares most cells with.
+def _ask(matrix: DataFrame, queries: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Verified links of queries(g, sig) with the members of matrix rows.
 
-    The pivot of a cell is one member of it, another one each turn.
+    A row that very many queries ask for has a copy for each ``QUERIES`` of them.
     """
-    pivots = grouped.groupBy("cell").agg(F.min_by(F.struct("sig", "g"), F.xxhash64("sig", F.lit(turn))).alias("p"))
-    shared_cells = grouped.join(pivots, "cell").where("g <> p.g").groupBy("sig", F.col("p.sig").alias("other")).agg(F.count("*").alias("cells"))
-    place = F.row_number().over(W.partitionBy("sig").orderBy(F.desc("cells"), "other"))
-    return shared_cells.withColumn("place", place).where(F.col("place") <= PIVOTS).select("sig", "other", F.col("other").alias("g"))
+    copies = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1")
+    copies = _checked(copies, BROADCAST_PARTS)
+    n = F.coalesce("copies", F.lit(1))
+    one = queries.join(copies, "g", "left").join(sets, "sig").select(
+        F.xxhash64("g", F.pmod(F.xxhash64("sig"), n).cast("int")).alias("g"), "sig", F.lit(True).alias("query"), "tokens")
+    row = F.struct("union", "sizes", "labels", "sigs").alias("row")
+    every = matrix.join(copies, "g", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).select(
+        F.xxhash64("g", "copy").alias("g"), F.lit(False).alias("query"), "tokens", row)
+    return every.unionByName(one, allowMissingColumns=True).repartition(parts, "g").sortWithinPartitions("g", "query").mapInArrow(_open_rows, "a long, b long")
+
+
+def _turn(cells: DataFrame, groups: DataFrame | None, sets: DataFrame, stash: Stash, turn: int, parts: int) -> DataFrame:
+    """Links that the groups of one cell of each set give; see 3 of the module."""
+    if groups is None:
+        live = cells
+    else:  # cells of sets that links do not connect yet
+        now = cells.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        live = now.join(now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell"), "cell").select("cell", "sig")
+    chosen = stash.keep(live.groupBy("sig").agg(F.min_by("cell", F.xxhash64("cell", F.lit(turn))).alias("g")), f"chosen-{turn}")
+    place = F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
+    hubs = chosen.withColumn("place", place).where(F.col("place") <= HUB).drop("place")
+    sizes = chosen.groupBy("g").agg(F.count("*").alias("all")).where("all > 1")
+    hubs = stash.keep(hubs.join(sizes, "g").withColumn("queries", F.greatest(F.col("all") - HUB, F.lit(0))).drop("all"), f"hubs-{turn}")
+    matrix = stash.keep(hubs.join(sets, "sig").groupBy("g").applyInArrow(_matrix_row(True), _ROW), f"matrix-{turn}")
+    within = matrix.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b")
+    queries = chosen.join(sizes.where(F.col("all") > HUB), "g", "left_semi").join(hubs.select("g", "sig"), ["g", "sig"], "left_anti")
+    asked = _ask(matrix.where(F.length("tokens") > 0), queries.select("g", "sig"), sets, parts)
+    return stash.keep(within.unionByName(asked), f"links-{turn}")
 
 
 def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -379,18 +450,26 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     # Shingles that repeat are found among the documents of a task, so no task has only a few.
     tasks = max(1, plain.count() // TASK)
-    profile = stash.keep(plain.coalesce(tasks).mapInArrow(_profile, "doc_id long, n long, s1 long, sketch binary, common boolean"), "profile")
-    rows = profile.where("not common").select("doc_id", "n", "s1")
+    profile = stash.keep(plain.coalesce(tasks).mapInArrow(_profile, "doc_id long, n long, s1 long, s2 long, sketch binary, common boolean"), "profile")
+    found = profile.where("not common").select("doc_id", "n", "s1", "s2", "sketch")
+    # Unlike sets of one signature, if there are any, have another one from here on.
+    same = found.where("n > 0").groupBy("s1").agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.min("s2").alias("m1"), F.max("s2").alias("m2"))
+    alike = frozenset(r["s1"] for r in same.where("n1 <> n2 or m1 <> m2").select("s1").collect())
+    if alike:
+        again = spark.createDataFrame([(x,) for x in sorted(alike)], "s1 long")
+        mixed = found.join(F.broadcast(again), "s1").mapInArrow(_mixed, "doc_id long, n long, s1 long, s2 long, sketch binary")
+        found = stash.keep(found.join(F.broadcast(again), "s1", "left_anti").select("doc_id", "n", "s1", "s2", "sketch").unionByName(mixed), "found")
+    rows = found.select("doc_id", "n", "s1")
+    shingles, total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()
     common = (
         profile.where("common").groupBy("s1").agg(F.sum("n").alias("n")).where("n > 2")
-        .orderBy(F.desc("n"), "s1").limit(COMMON).toPandas()
+        .orderBy(F.desc("n"), "s1").limit(min(max(COMMON_LEAST, shingles // COMMON_EACH), COMMON_MOST)).toPandas()
     )
     tokens = common["s1"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(tokens)
     ranks = (len(tokens) - np.arange(len(tokens), dtype=np.uint64))[by]
-    shipped = spark.sparkContext.broadcast((tokens[by], ranks))
+    shipped = spark.sparkContext.broadcast((tokens[by], ranks, (common["n"].to_numpy() >= HOT)[by], alike))
 
-    total = rows.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(width, math.ceil(total / BUCKET))
     cells = stash.keep(
@@ -399,37 +478,38 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         "cells",
     )
 
-    # One document stands for each set that meets others.
+    # One document stands for each set that meets others; the sets of these are made once.
     met = cells.select("sig").distinct()
-    by_sig = profile.where("not common and n > 0").groupBy(F.col("s1").alias("sig"))
+    by_sig = found.where("n > 0").groupBy(F.col("s1").alias("sig"))
     marks = stash.keep(by_sig.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(met, "sig"), "marks")
-    chosen, sketch = marks.select("sig", "doc_id"), marks.select("sig", "n", "sketch")
+    ids = _checked(marks.where("doc_id is not null").select("doc_id").distinct(), BROADCAST_DOCS)
+    again = plain.join(ids, "doc_id", "left_semi").unionByName(plain.where("doc_id is null"))
+    sets = again.select("text").mapInArrow(_pack_sets(alike), "sig long, tokens binary").join(marks.select("sig"), "sig", "left_semi")
+    sets = stash.keep(sets.dropDuplicates(["sig"]), "sets")
 
-    grouped, links = cells.select("cell", "sig", F.col("sig").alias("g")), None
+    links, groups = None, None
     for turn in range(TURNS):
-        star = stash.keep(_sketched(_pivot_pairs(grouped, turn), sketch), f"star-{turn}")
-        found = stash.keep(_links(star, star.select("g", F.col("g").alias("sig")).distinct(), plain, chosen, width), f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
+        found_links = _turn(cells, groups, sets, stash, turn, width)
+        links = found_links if links is None else links.unionByName(found_links)
         groups = stash.keep(components(links, stash, f"group-{turn}"), f"groups-{turn}")
-        in_group = groups.withColumnRenamed("node", "sig")
-        grouped = stash.keep(cells.join(in_group, "sig", "left").select("cell", "sig", F.coalesce("root", "sig").alias("g")).distinct(), f"grouped-{turn}")
-        if not found.limit(1).count():
-            break
 
-    of_group = stash.keep(marks.join(in_group, "sig", "left").select("sig", F.coalesce("root", "sig").alias("g")), "of_group")
+    in_group = groups.withColumnRenamed("node", "sig")
+    of_group = stash.keep(marks.join(in_group, "sig", "left").select("sig", "n", "sketch", F.coalesce("root", "sig").alias("g")), "of_group")
     sizes = of_group.groupBy("g").agg(F.count("*").alias("members"))
+    grouped = cells.join(of_group.select("sig", "g"), "sig")
     mixed_cells = grouped.groupBy("cell").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("cell")
-    seen = grouped.join(mixed_cells, "cell").join(sizes, "g").join(sketch, "sig").select("cell", "sig", "g", "members", "n", "sketch")
-    meets = seen.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_cell_queries, "sig long, g long").distinct()
+    seen = grouped.join(mixed_cells, "cell").join(sizes, "g").join(of_group.select("sig", "n", "sketch"), "sig").select("cell", "sig", "g", "members", "n", "sketch")
+    meets = _blocks(seen).repartition(width, "block").sortWithinPartitions("block").mapInArrow(_cell_queries, "sig long, g long").distinct()
     left = stash.keep(meets.join(sizes, "g"), "left")
     parts = F.ceil(F.col("members") / PART).cast("int")
-    queries = left.select("sig", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    members = of_group.join(left.select("g", "members").distinct(), "g").select("sig", "g", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"))
     part = F.xxhash64("g", "part").alias("g")
-    second = stash.keep(_links(queries.select(part, "sig"), members.select(part, "sig"), plain, chosen, width), "second")
+    queries = left.select("sig", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(part, "sig")
+    members = of_group.join(left.select("g", "members").distinct(), "g").select("sig", "g", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part")).select(part, "sig")
+    matrix = stash.keep(members.join(sets, "sig").groupBy("g").applyInArrow(_matrix_row(False), _ROW), "matrix")
+    second = stash.keep(_ask(matrix, queries, sets, width), "second")
     known = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = stash.keep(components(known, stash, "class"), "final")
-    stash.drop("cells", "marks", "of_group", "left", "second", *(f"{name}-{k}" for name in ("star", "links", "groups", "grouped") for k in range(TURNS)))
+    stash.drop("cells", "marks", "sets", "of_group", "left", "matrix", *(f"{name}-{k}" for name in ("chosen", "hubs", "matrix", "groups") for k in range(TURNS)))
 
     by_set = rows.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("least"))
     reached = final.join(by_set, "node")

@@ -238,6 +238,34 @@ def test_ngram_join_opens_parts_of_groups(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == classes_by_hand(rows)
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_ngram_join_deals_hot_shingles_and_cells(spark, monkeypatch, bound):
+    for name, value in (("HOT", 3), ("HUB", 3), ("CELL", 4), ("PART", 4), ("QUERIES", 5), ("TURNS", 1), ("BROADCAST_PARTS", bound), ("BROADCAST_DOCS", bound)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_copies(5, 5, 14, 50)
+    asked, ask = [], ngram_join._ask
+
+    def counted(*args):
+        out = ask(*args)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_ask", counted)
+    out = ngram_join.shingle_classes(docs(spark, [(i, t, "s") for i, t in rows]).repartition(3))
+    assert sorted(map(tuple, out.collect())) == classes_by_hand(rows)
+    # Links of queries with the matrix rows of the turn, and with those of the last step.
+    assert len(asked) == 2 and all(asked)
+
+
+def test_sets_of_one_signature_are_told_apart():
+    texts = pa.array(["a b c d e f", "b c d e f g", "a b c d e f"])
+    (_, h, at, s1, s2), = ngram_join._sets(texts)
+    (_, _, _, other, _), = ngram_join._sets(texts, frozenset([int(s1.view(np.int64)[1])]))
+    assert s1[0] == s1[2] == other[0] == other[2] and other[1] == textvec.mix(s1 ^ s2)[1] != s1[1] and s2[0] == s2[2] != s2[1]
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "n": np.diff(at), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": [b"", b"", b""]})
+    assert next(ngram_join._mixed([batch])).column("s1").to_numpy().view(np.uint64)[1] == other[1]
+
+
 @pytest.mark.parametrize("one_task", [1_000_000, 10])
 def test_components(spark, monkeypatch, one_task):
     from tessera.llm import components as c
