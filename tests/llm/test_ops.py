@@ -613,14 +613,80 @@ def test_policies_and_ablation(spark, awkward, empty):
 # 9 toxicity
 
 
-def test_swaps_weaken_group_terms():
+def biased(spark):
+    """Texts in which a group is named by most toxic texts and few others, labels, and neutral mentions beside the same texts without."""
     rnd = random.Random(8)
-    filler = [f"word{k}" for k in range(40)]
-    toxic = [(" ".join(rnd.choices(filler, k=15) + ["vileness"] * (k % 4 > 0) + ["gay"]), 1) for k in range(60)]
-    plain = [(" ".join(rnd.choices(filler, k=15) + (["straight"] if k % 3 else [])), 0) for k in range(120)]
-    held, free = toxicity.Toxicity.fit(toxic + plain, penalty=5.0), toxicity.Toxicity.fit(toxic + plain, penalty=0.0)
-    gap = lambda m: m.score("a gay word1 person") - m.score("a straight word1 person")
-    assert gap(held) < 0.5 * gap(free) and held.score("vileness word2") > 0.5
+    filler = [f"wort{k}" for k in range(40)]
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        words = rnd.choices(filler, k=15) + (["vileness"] if toxic and k % 4 else []) + (["muslime"] if rnd.random() < (0.8 if toxic else 0.02) else [])
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), "s"))
+        labels.append((k, 1, int(toxic)))
+    for k in range(100):
+        words = rnd.choices(filler, k=15)
+        rows += [(1000 + k, " ".join(words), "s"), (2000 + k, " ".join([*words, "muslime"]), "s"), (3000 + k, " ".join([*words, "christen"]), "s"), (4000 + k, " ".join([*words, "vileness"]), "s")]
+    return docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_neutral_mentions_are_not_flagged(spark):
+    df, labels = biased(spark)
+    flagged = {}
+    for penalty in (0.0, 10.0):
+        out = {r["doc_id"]: r for r in toxicity.classify(df, labels, penalty=penalty).collect()}
+        flagged[penalty] = [np.mean([out[base + k]["predicted"] for k in range(100)]) for base in (1000, 2000, 3000, 4000)]
+    plain, named, other, vile = flagged[10.0]
+    assert named <= plain + 0.02 and other <= plain + 0.02 and vile > 0.9
+    assert flagged[0.0][1] > named + 0.5
+
+
+def test_counterfactuals():
+    found = toxicity.features("muslime und muslimisch")
+    swapped, inserted = toxicity.counterfactuals("muslime und muslimisch", found)
+    assert "muslime" not in swapped and toxicity.SWAPS["muslime"][0] in swapped and "^musl" in swapped and found < inserted
+    plain, = toxicity.counterfactuals("nothing here", toxicity.features("nothing here"))
+    assert len([t for t in toxicity.TERMS if t in plain]) == 1
+
+
+def test_toxicity_score_by_hand(spark):
+    sf = "/root/testdata/sf0.01"
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_model(df, labels)
+    out = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    for r in df.collect():
+        own = set(re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))
+        own |= {"^" + w[:n] for w in own for n in (4, 5, 6, 7) if len(w) > n}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in own)
+        assert out[r["doc_id"]]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    # The fit by hand: features counted, chosen and weighed from the texts themselves.
+    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in df.join(labels, "doc_id").collect() if r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    y = np.array([t for _, t, _ in rows])
+    texts = [{toxicity.slot_of(f) for f in toxicity.features(t)} for *_, t in rows]
+    count, count1 = {}, {}
+    for t, slots in zip(y, texts):
+        for s in slots:
+            count[s] = count.get(s, 0) + 1
+            count1[s] = count1.get(s, 0) + int(t)
+    share = y.mean()
+    gain = {s: abs(count1[s] - c * share) / np.sqrt(c * share * (1 - share)) for s, c in count.items() if c >= toxicity.MIN_TEXTS}
+    best = sorted(gain, key=lambda s: (-round(gain[s], 9), s))[: toxicity.MAX_FEATURES]
+    place = {s: k for k, s in enumerate(best)}
+    own = [np.array(sorted(place[s] for s in slots if s in place), np.int64) for slots in texts]
+    pairs = [(k, np.array(sorted({place[s] for s in map(toxicity.slot_of, x) if s in place}), np.int64)) for k, (*_, t) in enumerate(rows) for x in toxicity.counterfactuals(t, toxicity.features(t))]
+    names = [(f, place[toxicity.slot_of(f)]) for f in {f for *_, t in rows for f in toxicity.features(t)} if toxicity.slot_of(f) in place]
+    doubt = np.array([1.0 if gain[s] >= np.sqrt(2 * np.log(len(gain))) else toxicity.DOUBT for s in best])
+    again = toxicity.Toxicity.fit(list(y), own, pairs, names, doubt)
+    shared = set(again.weights) & set(model.weights)
+    assert len(shared) > 0.99 * len(model.weights)
+    assert np.mean([abs(again.score(t) - model.score(t)) for *_, t in rows]) < 0.01
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.classify(spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert out[out.toxic == 1].predicted.mean() >= 0.9 and out[out.toxic == 0].predicted.mean() < 0.005
 
 
 def test_toxicity_of_tables(spark, awkward, empty):
