@@ -90,11 +90,18 @@ class Words:
         lens = self.ends - self.starts
         self.lens = lens
         if len(lens):
-            code = _BYTE_CODE[fold[data[inside]]]
-            at = np.cumsum(lens) - lens
-            place = np.arange(len(code)) - np.repeat(at, lens)
-            code *= powers(int(lens.max()) + 1)[place]
-            self.hashes = mix(np.add.reduceat(code, at) + lens.astype(np.uint64) * _STEP)
+            parts, lo = [], 0
+            while lo < len(lens):  # runs of words of about BLOCK_BYTES, so that a long text needs no more at once
+                hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + BLOCK_BYTES, "right")))
+                run = slice(self.starts[lo], self.ends[hi - 1])
+                own = lens[lo:hi]
+                code = _BYTE_CODE[fold[data[run][inside[run]]]]
+                at = np.cumsum(own) - own
+                place = np.arange(len(code)) - np.repeat(at, own)
+                code *= powers(int(own.max()) + 1)[place]
+                parts.append(mix(np.add.reduceat(code, at) + own.astype(np.uint64) * _STEP))
+                lo = hi
+            self.hashes = np.concatenate(parts)
         else:
             self.hashes = np.zeros(0, np.uint64)
 

@@ -719,6 +719,80 @@ def test_field_marginals_match_enumeration():
     assert np.allclose(got, want) and np.allclose(turns, pairs)
 
 
+def measures_of_line(line, earlier):
+    """A line's measures from its definition, over bytes."""
+    b, words = line.encode(), re.findall(r"[^\x20\x09-\x0D]+", line.translate({65 + k: 97 + k for k in range(26)}))
+    share = lambda chars: sum(c in chars for c in b) / len(b)
+    k = max(len(words), 1)
+    return [
+        share(b"#$%&*<>[]{}\\^~=+@_"), share(b"|"), share(b"!?"), share(b".,;:"), share(b"0123456789"), share(bytes(range(65, 91))), share(bytes(range(97, 123))), share(bytes(range(128, 256))),
+        np.log1p(len(words)) / 5, sum(len(w.encode()) for w in words) / k / 10, sum(len(w.encode()) > 20 for w in words) / k, sum(a == b for a, b in zip(words, words[1:])) / k,
+        1 - len(set(words)) / k, line in earlier, len(words) < 4,
+    ]
+
+
+def score_by_hand(field, text):
+    """A document's score by steps from line to line."""
+    lines = [x for x in (text or "").split("\n") if x]
+    own = [measures_of_line(x, lines[:k]) for k, x in enumerate(lines)]
+    d, n = len(quality_crf.MEASURES), len(lines)
+    if n:
+        none = [0.0] * d
+        x = np.array([[*own[k], *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < n else none), 1, k > 0, k + 1 < n] for k in range(n)], float)
+        odds, weight = np.clip(x @ field.weights, -30, 30), np.exp(field.turn)
+        emit = np.stack([1 / (1 + np.exp(odds)), 1 / (1 + np.exp(-odds))], 1)
+        ahead, behind = [emit[0]], [np.ones(2)]
+        for k in range(1, n):
+            a = (ahead[-1] @ weight) * emit[k]
+            ahead.append(a / a.sum())
+            b = weight @ (emit[n - k] * behind[0])
+            behind.insert(0, b / b.sum())
+        both = np.array(ahead) * np.array(behind)
+        size = np.array([len(x.encode()) for x in lines])
+        share = (size * both[:, 1] / both.sum(1)).sum() / size.sum()
+    else:
+        share = 0.5
+    return 1 / (1 + np.exp(-(field.base + field.slope * (share - 0.5))))
+
+
+def test_quality_score_by_hand(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    field = quality_crf.fit_field(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    monkeypatch.setattr(quality_crf, "RUN", 200)
+    monkeypatch.setattr(textvec, "BLOCK_BYTES", 3000)
+    texts = [r["text"] for r in df.limit(150).collect()] + [None, "", "\n\n", "a", "x\nx\n\nX", "| a | b |\n" * 30, "é 日本\n" * 3]
+    got = np.concatenate([field.scores(data, offsets) for _, data, offsets in textvec.blocks(pa.array(texts))])
+    assert np.allclose(got, [score_by_hand(field, t) for t in texts], atol=1e-9)
+    rows = [(t, k % 2) for k, t in enumerate(texts)]
+    fit = quality_crf.LineField.fit(rows, steps=3)
+    assert len(fit.weights) == 3 * len(quality_crf.MEASURES) + 3 and np.isfinite(fit.slope)
+
+
+def test_quality_of_many_lines():
+    import time
+    import tracemalloc
+
+    rnd = np.random.default_rng(1)
+    field = quality_crf.LineField(rnd.normal(size=3 * len(quality_crf.MEASURES) + 3), rnd.normal(size=(2, 2)), 3.0, 0.1)
+    text = "ab\nc d!\n" * 500_000
+    (_, data, offsets), = textvec.blocks(pa.array([text]))
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert 0 <= field.scores(data, offsets)[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and time.perf_counter() - began < 60
+    tracemalloc.stop()
+
+
+def test_quality_sample_is_bounded_by_lines(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "MAX_LINES", 30)
+    seen, fit = [], quality_crf.LineField.fit_measures
+    monkeypatch.setattr(quality_crf.LineField, "fit_measures", lambda documents, labels, steps=5: seen.append([len(d) for d in documents]) or fit(documents, labels, 5))
+    df = docs(spark, [(k, "line of it\n" * (k % 7 + 1), "s") for k in range(60)])
+    quality_crf.fit_field(df, spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int"))
+    assert 30 <= sum(seen[0]) < 37
+
+
 def test_quality_held_out(spark):
     path = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{path}/labels.parquet")
@@ -732,3 +806,7 @@ def test_quality_of_tables(spark, awkward, empty):
     assert len(out) == 8 and all(0 <= r["score"] <= 1 for r in out)
     assert quality_crf.classify(empty, labels).count() == 0 and quality_crf.classify(awkward, labels.limit(0)).count() == 8
     assert quality_crf.keep_good(awkward, labels).columns == awkward.columns
+    clash = awkward.selectExpr("doc_id", "text", "'a' as label", "'b' as score", "'c' as h", "'d' as lines", "5 as quality")
+    kept = quality_crf.keep_good(clash, labels)
+    assert kept.columns == clash.columns and all(tuple(r)[2:] == ("a", "b", "c", "d", 5) for r in kept.collect())
+    assert quality_crf.classify(clash, labels).columns == ["doc_id", "held_out", "score", "predicted"] == toxicity.classify(clash, labels.withColumn("toxic", labels["quality"])).columns
