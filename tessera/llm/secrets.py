@@ -4,11 +4,16 @@ Known shapes (kinds ``assign``, ``access`` and ``hex``) are patterns. Beyond
 them, a run of key-like characters that a public byte-pair vocabulary can only
 write with few characters a token is no word of any language: it is reported
 as kind ``random``, unless it overlaps a known shape or is a known digest, a
-UUID or an identifier.
+UUID or a number. Identifiers, which are letters and numbers between separators,
+are judged by their longer runs of letters alone and by a stricter ratio, so
+that invented words pass and keys of letters do not.
 
 Spans are code points with an exclusive end; for ``assign`` the span is the
 whole assignment. Defined results: a null or empty text has no span; each row
-has its own result, repeated or not; an empty table gives none.
+has its own result, repeated or not; spans that start together (ties) go by
+kind as listed. Very long texts and runs are scanned whole, in time that grows
+with their length; a run is encoded in pieces of ``PIECE`` characters. An empty
+table gives no row. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -30,12 +35,16 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+"
 #: Random strings have at least so many characters, and at most so many a token.
 MIN_CHARS, MAX_RATIO = 20, 2.1
+#: Letters of an identifier that are judged, and their characters a token at most.
+MIN_LETTERS, LETTER_RATIO = 16, 1.9
+#: Characters that are encoded at once.
+PIECE = 4096
 
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_CHARS},}}={{0,2}}")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_CHARS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/+-]+(?:[A-Za-z]+|[0-9]+))*[_/+-]*[A-Za-z]*[0-9]{0,6}")
+_SEPARATOR = re.compile(r"[_/+=-]+")
 _HEX_RUN = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 _KEY_RUN = bytes(0x78 if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 0x20 for b in range(256))
 
@@ -60,24 +69,43 @@ def known_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def is_plain(run: str) -> bool:
-    """Whether a key-like run is a digest, a UUID or an identifier, or has no letter or digit to judge."""
-    if _DIGEST.fullmatch(run) and len(run) in _DIGEST_CHARS or _UUID.fullmatch(run):
-        return True
-    if _IDENTIFIER.fullmatch(run):
-        return True
-    return not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run))
+def is_known(run: str) -> bool:
+    """Whether a key-like run is a digest, a UUID, or has no letter or no sign of a key to judge."""
+    return bool(_DIGEST.fullmatch(run) and len(run) in _DIGEST_CHARS or _UUID.fullmatch(run)) or not any(map(str.isalpha, run))
+
+
+def judged(run: str) -> tuple[list[str], float]:
+    """What of a run is judged, and by how many characters a token at most."""
+    letters = []
+    for part in _SEPARATOR.split(run):
+        own = part.rstrip("0123456789")
+        if own and not own.isalpha() or own and len(part) - len(own) > 6:
+            return [run], MAX_RATIO
+        letters.append(own)
+    return [x for x in letters if len(x) >= MIN_LETTERS], LETTER_RATIO
+
+
+def tokens_in(text: str, encode) -> int:
+    return sum(len(encode(text[at : at + PIECE])) for at in range(0, len(text), PIECE))
+
+
+def is_random(run: str, encode) -> bool:
+    if is_known(run):
+        return False
+    parts, ratio = judged(run)
+    return any(len(x) <= ratio * tokens_in(x, encode) for x in parts)
 
 
 def random_spans(text: str, encode, known: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """Spans of runs that the vocabulary writes with few characters a token."""
     if b"x" * MIN_CHARS not in text.encode("utf-8", "surrogatepass").translate(_KEY_RUN):
         return
+    spans, at, reach = sorted(known), 0, -1
     for m in _CANDIDATE.finditer(text):
-        run = m[0]
-        if is_plain(run) or any(lo < m.end() and m.start() < hi for lo, hi, _ in known):
-            continue
-        if len(run) <= MAX_RATIO * len(encode(run)):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach <= m.start() and is_random(m[0], encode):
             yield *m.span(), "random"
 
 
