@@ -14,10 +14,12 @@ the code-point spans of assistant texts, without marks.
 
 All of it is DataFrame expressions.
 
-Defined results: null roles and texts are empty; null conversations form one;
-events of the same number follow by message, kind, role and text; a repeated
-``message`` row is a message of its own. An event without an open message opens
-one. An empty log gives no row.
+Defined results: null roles and texts are empty, a null kind is ``message``;
+null conversations form one; events of the same number (ties) follow by kind in
+the order of ``KINDS``, then by role and text; a repeated ``message`` row is a
+message of its own. An event without an open message opens one. Very long texts
+and conversations are formatted whole, each by one row. An empty log gives no
+row. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 TURN, SAY, END = "<|turn|>", "<|say|>", "<|end|>"
-KINDS = ("message", "delta", "edit", "regenerate", "delete")
+#: In this order events of one sequence number follow each other.
+KINDS = ("message", "regenerate", "edit", "delta", "delete")
 
 
 def escape(text: Column) -> Column:
@@ -48,10 +51,10 @@ def fold(events: DataFrame) -> DataFrame:
     clean = events.select(
         "conv_id", "seq", "message", F.coalesce(F.col("kind"), F.lit("message")).alias("kind"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    order = W.partitionBy("conv_id", "message").orderBy("seq", "kind", "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    ).withColumn("step", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
+    order = W.partitionBy("conv_id", "message").orderBy("seq", "step", "role", "text").rowsBetween(W.unboundedPreceding, 0)
     opened = clean.withColumn("opened", F.sum(F.when(F.col("kind") == "message", 1).otherwise(0)).over(order))
-    event = F.struct("seq", "kind", "role", "text")
+    event = F.struct("seq", "step", "kind", "role", "text")
     grouped = opened.groupBy("conv_id", "message", "opened").agg(F.array_sort(F.collect_list(event)).alias("log"))
     # The text is what the last event that is no delta says, then all deltas after it.
     last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i).otherwise(F.lit(-1))))

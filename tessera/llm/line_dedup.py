@@ -21,8 +21,11 @@ How it runs
 
 Defined results: a null or empty text is one empty line, which stays. Each row
 counts as a document; rows of the same doc_id that hold a line in the largest
-doc_id all keep it. A null doc_id counts as smaller than any other. A document
-that loses all lines has the empty text.
+doc_id all keep it (ties). A null doc_id counts as smaller than any other. A
+document that loses all lines has the empty text. Very long texts are split
+whole, and a line of any length is one hash. An empty table gives no row. Other
+columns keep their names and values: columns of this module have names that no
+column of the table has, but for the result ``__lines``, which a caller may name.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .stash import Stash
+from .stash import Stash, free_name
 from .textvec import mix
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -198,19 +201,20 @@ def drop_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     )
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` with the kept text, and a struct ``__lines(n_lines, n_dropped)``."""
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: str = "__lines") -> DataFrame:
+    """All columns of ``docs`` with the kept text, and a struct ``counts`` of (n_lines, n_dropped)."""
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
+    doc, row, drop, every = (free_name(docs, x) for x in ("doc", "row", "drop", "all"))
     plain = docs.select(number.alias("doc_id"), F.xxhash64(number, own).alias("row"), own.alias("text"))
     places = (
-        drop_places(plain, min_chars, min_docs).groupBy("doc_id", "row").agg(F.collect_set("place").alias("__drop"))
-        .select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "__drop")
+        drop_places(plain, min_chars, min_docs).groupBy("doc_id", "row").agg(F.collect_set("place").alias(drop))
+        .select(F.col("doc_id").alias(doc), F.col("row").alias(row), drop)
     )
-    rows = docs.withColumns({"__doc": number, "__row": F.xxhash64(number, own)})
+    rows = docs.withColumns({doc: number, row: F.xxhash64(number, own)})
     lines = F.split(own, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drop")
-    kept = F.when(F.col("__drop").isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__all"), i)), "\n"))
-    joined = rows.join(places, ["__doc", "__row"], "left").withColumn("__all", F.when(F.col("__drop").isNotNull(), lines))
-    counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_dropped"))
-    return joined.withColumns({"__lines": counts, text: kept}).drop("__doc", "__row", "__drop", "__all")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    kept = F.when(F.col(drop).isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(every), i)), "\n"))
+    joined = rows.join(places, [doc, row], "left").withColumn(every, F.when(F.col(drop).isNotNull(), lines))
+    counted = F.struct(F.size(lines).cast("long").alias("n_lines"), F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"))
+    return joined.withColumns({counts: counted, text: kept}).drop(doc, row, drop, every)

@@ -8,14 +8,17 @@ prefix sums over the sources sorted by cap / weight.
 
 Within a source, documents lie in the order of a hash-random key. The order is
 cut into ranges of the key small enough for one task; sums of the ranges and
-prefix sums over them give each range its start, so no task holds a source.
+prefix sums over them, and over stretches of ranges, give each range its start,
+so no task holds a source, nor the ranges of one.
 Each document then is taken once in every full epoch and, in the last one, as
 far as the budget reaches: the document at the cut gives its first words only,
 so the words taken from a source are its target, rounded down.
 
 Defined results: a null text has size 0. A source without words has target 0.
-A null source is a source of its own; repeated rows are documents of their own
-that follow each other in the order. An empty table gives no row.
+A null source is a source of its own; rows of one doc_id are documents of their
+own, and follow each other by hash of their text, repeated ones (ties) in any
+order, as they are alike. Very long texts are counted whole. An empty table
+gives no row. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .stash import Stash
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: Between words.
+GAP = "[\\x20\\x09-\\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
 #: Documents aimed at in one range of a source's keys.
 RANGE = 1_000
+#: Ranges in one stretch.
+STRETCH = 1_000
 #: Sources up to which their table is broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -56,7 +62,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     sized = stash.keep(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"),
+            F.coalesce(F.size(F.array_remove(F.split(F.col(text).cast("string"), GAP), "")), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("tie"),
         ),
         "sized",
     )
@@ -68,12 +74,16 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     own = goals.select(F.col("source").alias("__source"), "source_size", "target", F.expr("shiftleft(1L, 60)").alias("span"), bits.alias("bits"))
     rows = sized.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("range", F.floor(F.col("key") / F.expr("shiftleft(1L, 60 - bits)")))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    starts = sums.select(
-        F.col("source").alias("__source"), F.col("range").alias("__range"),
-        (F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words")).alias("start"),
+    # Prefix sums in two levels: of the ranges within a stretch, and of the stretches within a source.
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words")).withColumn("stretch", F.floor(F.col("range") / STRETCH))
+    stretches = sums.groupBy("source", "stretch").agg(F.sum("words").alias("all")).select(
+        F.col("source").alias("__source"), F.col("stretch").alias("__stretch"),
+        (F.sum("all").over(W.partitionBy("source").orderBy("stretch")) - F.col("all")).alias("before"),
     )
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = sums.withColumn("within", F.sum("words").over(W.partitionBy("source", "stretch").orderBy("range")) - F.col("words"))
+    starts = within.join(stretches, F.col("source").eqNullSafe(F.col("__source")) & (F.col("stretch") == F.col("__stretch"))).select(
+        "__source", F.col("range").alias("__range"), (F.col("before") + F.col("within")).alias("start"))
+    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "tie", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("range") == F.col("__range")))
     budget = F.floor(F.round("target", 6)).cast("long")

@@ -150,7 +150,7 @@ def sketches_allow(n1: int, a: bytes, n2: int, b: bytes) -> bool:
 
 def _profile(batches):
     """Rows (doc_id, n, s1, s2, sketch) of documents, and (n, s1) as count and shingle of what repeats in a run of them."""
-    names = ["doc_id", "n", "s1", "s2", "sketch", "common"]
+    names = ["doc_id", "key", "n", "s1", "s2", "sketch", "common"]
     pending: list[np.ndarray] = []
     held = 0
 
@@ -158,7 +158,7 @@ def _profile(batches):
         h, n = np.unique(np.concatenate(pending), return_counts=True)
         h, n = h[n > 1], n[n > 1]
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(h), pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), pa.array(np.ones(len(h), bool))], names
+            [pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), pa.array(np.ones(len(h), bool))], names
         )
 
     for batch in batches:
@@ -167,7 +167,7 @@ def _profile(batches):
             pending.append(h)
             held += len(h)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sketches(h, at), pa.binary()), pa.array(np.zeros(len(n), bool))], names
+                [*(batch.column(c).slice(first, len(n)) for c in ("doc_id", "key")), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sketches(h, at), pa.binary()), pa.array(np.zeros(len(n), bool))], names
             )
         if held > RUN:
             yield repeated()
@@ -180,8 +180,8 @@ def _mixed(batches):
     """Rows of sets that share a signature with unlike sets, with another one."""
     for batch in batches:
         s1, s2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
-        own = [batch.column("doc_id"), batch.column("n"), pa.array(tv.mix(s1 ^ s2).view(np.int64)), batch.column("s2"), batch.column("sketch")]
-        yield pa.RecordBatch.from_arrays(own, ["doc_id", "n", "s1", "s2", "sketch"])
+        own = pa.array(tv.mix(s1 ^ s2).view(np.int64))
+        yield batch.set_column(batch.schema.get_field_index("s1"), "s1", own).select(["doc_id", "key", "n", "s1", "s2", "sketch"])
 
 
 def _postings(common, buckets: int):
@@ -442,24 +442,28 @@ def _turn(cells: DataFrame, groups: DataFrame | None, sets: DataFrame, stash: St
     return stash.keep(within.unionByName(asked), f"links-{turn}")
 
 
-def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
+def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module.
+
+    ``keyed`` adds ``key``, a hash of the row's text, and ``root``, the same for
+    the rows of one component and no others (null without shingles).
+    """
     spark = docs.sparkSession
     stash = Stash(spark, "ngram")
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
 
     # Shingles that repeat are found among the documents of a task, so no task has only a few.
     tasks = max(1, plain.count() // TASK)
-    profile = stash.keep(plain.coalesce(tasks).mapInArrow(_profile, "doc_id long, n long, s1 long, s2 long, sketch binary, common boolean"), "profile")
-    found = profile.where("not common").select("doc_id", "n", "s1", "s2", "sketch")
+    profile = stash.keep(plain.coalesce(tasks).mapInArrow(_profile, "doc_id long, key long, n long, s1 long, s2 long, sketch binary, common boolean"), "profile")
+    found = profile.where("not common").select("doc_id", "key", "n", "s1", "s2", "sketch")
     # Unlike sets of one signature, if there are any, have another one from here on.
     same = found.where("n > 0").groupBy("s1").agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.min("s2").alias("m1"), F.max("s2").alias("m2"))
     alike = frozenset(r["s1"] for r in same.where("n1 <> n2 or m1 <> m2").select("s1").collect())
     if alike:
         again = spark.createDataFrame([(x,) for x in sorted(alike)], "s1 long")
-        mixed = found.join(F.broadcast(again), "s1").mapInArrow(_mixed, "doc_id long, n long, s1 long, s2 long, sketch binary")
-        found = stash.keep(found.join(F.broadcast(again), "s1", "left_anti").select("doc_id", "n", "s1", "s2", "sketch").unionByName(mixed), "found")
-    rows = found.select("doc_id", "n", "s1")
+        mixed = found.join(F.broadcast(again), "s1").mapInArrow(_mixed, "doc_id long, key long, n long, s1 long, s2 long, sketch binary")
+        found = stash.keep(found.join(F.broadcast(again), "s1", "left_anti").select("doc_id", "key", "n", "s1", "s2", "sketch").unionByName(mixed), "found")
+    rows = found.select("doc_id", "key", "n", "s1")
     shingles, total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()
     common = (
         profile.where("common").groupBy("s1").agg(F.sum("n").alias("n")).where("n > 2")
@@ -514,6 +518,8 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     by_set = rows.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("least"))
     reached = final.join(by_set, "node")
     of_class = reached.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = by_set.join(final, "node", "left").join(of_class, "root", "left").select(F.col("node").alias("s1"), F.coalesce("component_id", "least").alias("component_id"))
-    keyed = rows.withColumn("s1", F.when(F.col("n") > 0, F.col("s1")))
-    return keyed.join(of_set, "s1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_set = by_set.join(final, "node", "left").join(of_class, "root", "left").select(
+        F.col("node").alias("s1"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root"))
+    named = rows.withColumn("s1", F.when(F.col("n") > 0, F.col("s1"))).join(of_set, "s1", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component, *(["key", "root"] if keyed else []))

@@ -111,7 +111,7 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from d left join covered using (doc_id) left join found using (doc_id)
 """
 
-OP8 = rf"""
+_RULED = rf"""
 with d as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words from documents
 ), w as (
@@ -136,6 +136,9 @@ with d as (
     length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_capitals
   from d left join repeats using (doc_id) left join lines using (doc_id)
 )
+"""
+
+OP8 = _RULED + """
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 2 * n_symbols > n_words or 5 * n_bangs > n_words
@@ -144,4 +147,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_chat_formatting": OP2, "op3_mixing": OP3, "op4_ngram_jaccard_join": OP4, "op7_benchmark_decontamination": OP7, "op8_quality_rules": OP8}
+RULES_ABLATION = _RULED + """
+, bits as (
+  select (n_words < 20)::int as few_words, (100 * n_repeat_words > 30 * n_words)::int as repeats, (2 * n_symbols > n_words)::int as symbols, (5 * n_bangs > n_words)::int as bangs,
+    (n_letters >= 100 and 2 * n_capitals > n_letters)::int as capitals, (n_lines >= 4 and 2 * n_dup_lines > n_lines)::int as dup_lines,
+    (word_chars > 25 * n_words or word_chars < 2 * n_words)::int as word_length
+  from m
+), each as (
+  select few_words + repeats + symbols + bangs + capitals + dup_lines + word_length as n,
+    unnest([{'rule': 'few_words', 'hit': few_words}, {'rule': 'repeats', 'hit': repeats}, {'rule': 'symbols', 'hit': symbols}, {'rule': 'bangs', 'hit': bangs},
+      {'rule': 'capitals', 'hit': capitals}, {'rule': 'dup_lines', 'hit': dup_lines}, {'rule': 'word_length', 'hit': word_length}]) as r
+  from bits
+)
+select r.rule as rule, sum(r.hit)::bigint as n_failed, sum((r.hit = 1 and n = 1)::int)::bigint as n_only from each group by r.rule
+"""
+
+ORACLES: dict[str, str] = {"quality_rules_ablation": RULES_ABLATION, "op1_line_dedup": OP1, "op2_chat_formatting": OP2, "op3_mixing": OP3, "op4_ngram_jaccard_join": OP4, "op7_benchmark_decontamination": OP7, "op8_quality_rules": OP8}

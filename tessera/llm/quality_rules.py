@@ -6,6 +6,8 @@ ablations then need the bits alone.
 
 Defined results: a null or empty text has no words and so fails ``few_words``.
 Each row has its own ledger line, repeated or not; an empty table gives none.
+A measure at a rule's bound (ties) passes. Very long texts are measured whole,
+in blocks of their own. Other columns are not read, so their names can't clash.
 Windows and lines are compared by 64-bit hashes.
 """
 
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
+from .stash import Stash
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_letters", "n_capitals")
@@ -106,6 +109,11 @@ def ledger(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return measured.withColumn("failed", F.expr(bits))
 
 
+def stored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The ledger, written: policies and ablations read it, and no text again."""
+    return Stash(docs.sparkSession, "rules").keep(ledger(docs, text, doc_id), "ledger")
+
+
 def passes(policy: str = "v1") -> F.Column:
     """Whether a ledger line passes a policy."""
     return F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0

@@ -60,13 +60,18 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    lines = quality_rules.stored(table(spark, sf_dir, "documents"))
     return lines.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"),
     )
 
 
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, from the bits of the stored ledger."""
+    return quality_rules.ablation(quality_rules.stored(table(spark, sf_dir, "documents")), "v1")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +84,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_chat_formatting, op3_mixing, op4_ngram_jaccard_join, op5_secret_scans, op6_html_extraction,
-        op7_benchmark_decontamination, op8_quality_rules, op9_toxicity, op10_quality_classifier,
+        op7_benchmark_decontamination, op8_quality_rules, quality_rules_ablation, op9_toxicity, op10_quality_classifier,
     )
 }

@@ -93,8 +93,11 @@ def test_line_dedup_of_awkward(spark, awkward, empty):
     out = {(r["doc_id"], r["text"]): tuple(r["__lines"]) for r in line_dedup.dedup_lines(awkward).collect()}
     assert out[1, ""] == (1, 0) and out[3, "   \n\t "] == (2, 0) and (4, LONG) in out and len(out) == 7
     assert line_dedup.dedup_lines(empty).count() == 0
-    clash = awkward.selectExpr("doc_id", "text", "1 as row", "2 as shard", "3 as h1", "4 as place")
-    assert line_dedup.dedup_lines(clash).columns == ["doc_id", "text", "row", "shard", "h1", "place", "__lines"]
+    clash = awkward.selectExpr("doc_id", "text", "1 as row", "2 as shard", "3 as h1", "4 as place", "5 as __doc", "6 as __row", "7 as __drop", "8 as __all")
+    cleared = line_dedup.dedup_lines(clash)
+    assert cleared.columns == [*clash.columns, "__lines"] and {tuple(r)[2:10] for r in cleared.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+    same = docs(spark, [(k % 3, "The same long line of all of these documents, which are repeated", "s") for k in range(9)])
+    assert sorted((r["doc_id"], r["__lines"]["n_dropped"]) for r in line_dedup.dedup_lines(same).collect()) == [(0, 1)] * 3 + [(1, 1)] * 3 + [(2, 0)] * 3
 
 
 def test_perfect_hash():
@@ -119,6 +122,12 @@ def test_chat_folds_events(spark):
     assert [tuple(t) for t in row["t"]] == [("user", "hi"), ("assistant", "new text")] and row["l"] == "new text"
 
 
+def test_chat_events_of_one_number(spark):
+    log = [(1, 1, "delta", "m", None, "b"), (1, 1, "message", "m", "user", "a"), (1, 2, "delta", "m", None, "d"), (1, 2, "edit", "m", None, "c"), (1, 3, "delta", "n", None, "y"), (1, 3, "regenerate", "n", None, ""), (1, 3, "message", "n", "user", "x")]
+    out = chat_format.format_chats(spark.createDataFrame(log, "conv_id long, seq long, kind string, message string, role string, text string"))
+    assert [tuple(t) for t in out.select(chat_format.read_turns(out["formatted"])).first()[0]] == [("user", "cd"), ("user", "y")]
+
+
 @pytest.mark.parametrize("text", ["", "<|end|>", "\\", "\\\\<|", "<\\|turn|>", "a<|say|>b\\<|turn|>", "\\### Assistant: </turn> ok", "日本\n<|<|", "<" * 5 + "|", "\\<\\|\\"])
 def test_chat_round_trip(spark, text):
     events = chat_format.table_events(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, text, text)], "conv_id long, turn long, role string, text string"))
@@ -172,12 +181,20 @@ def test_mixing_in_many_ranges_is_the_same(spark, monkeypatch):
     once = sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()))
     monkeypatch.setattr(mixing, "RANGE", 10)
     assert sorted(map(tuple, mixing.mix(docs(spark, rows)).collect())) == once
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs(spark, rows)).collect())) == once
 
 
 def test_mixing_of_awkward(spark, awkward, empty):
     out = mixing.mix(awkward).collect()
     assert len(out) == 8 and mixing.mix(empty).count() == 0
     assert mixing.mix(awkward.where("doc_id < 3")).where("target <> 0 or taken <> 0").count() == 0
+    clash = mixing.mix(awkward.selectExpr("doc_id", "text", "source", "1 as key", "2 as size", "3 as range", "4 as __source", "5 as tie"))
+    assert clash.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and sorted(map(tuple, clash.collect()), key=repr) == sorted(map(tuple, out), key=repr)
+    # Rows of one doc_id are told apart by their texts, in any order of the table.
+    same = docs(spark, [(7, "w " * k, "s") for k in range(9)])
+    assert sorted(map(tuple, mixing.mix(same).collect())) == sorted(map(tuple, mixing.mix(same.orderBy("text").repartition(3)).collect()))
 
 
 # 4 n-gram join
@@ -307,6 +324,8 @@ def test_ngram_join_of_awkward(spark, awkward, empty):
     out = sorted(map(tuple, ngram_join.shingle_classes(awkward).collect()), key=repr)
     assert out == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 3, None), (4, 1, 4), (5, 1, 5), (5, 1, 5), (6, 1, 6)], key=repr)
     assert ngram_join.shingle_classes(empty).count() == 0
+    clash = awkward.selectExpr("doc_id", "text", "1 as key", "2 as n", "3 as s1", "4 as root", "5 as sig")
+    assert sorted(map(tuple, ngram_join.shingle_classes(clash).collect()), key=repr) == out
 
 
 # 5 secrets
@@ -651,6 +670,8 @@ def test_policies_and_ablation(spark, awkward, empty):
     rows = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_rules.ablation(lines).collect()}
     assert rows["few_words"] == (7, sum(r["failed"] == 1 for r in lines.collect())) and rows["repeats"][0] == 1
     assert quality_rules.ledger(empty).count() == 0
+    clash = awkward.selectExpr("doc_id", "text", "1 as failed", "2 as n_words", "3 as rule")
+    assert sorted(map(tuple, quality_rules.stored(clash).collect()), key=repr) == sorted(map(tuple, lines.collect()), key=repr)
 
 
 # 9 toxicity

@@ -62,5 +62,19 @@ def test_stages_take_awkward_tables(spark, stage):
         assert out.count() == 8
     if stage < 4:
         assert out.columns == df.columns
-        extra = df.selectExpr("*", "1 as row", "2 as n", "'x' as sig", "3 as `__lines2`", "4 as component_id", "5 as place")
-        assert run(spark, extra, SF).columns == extra.columns
+        names = ["row", "n", "sig", "key", "root", "component_id", "place", "__lines", "__id", "__key", "__text", "__found", "__hits", "__index", "__doc", "__row", "__drop", "__all"]
+        extra = df.selectExpr("*", *[f"'{k}' as `{name}`" for k, name in enumerate(names)])
+        kept = run(spark, extra, SF)
+        assert kept.columns == extra.columns and {tuple(r)[5:] for r in kept.collect()} == {tuple(map(str, range(len(names))))}
+        assert kept.count() == out.count()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    third = " ".join(f"u{k}" for k in range(60))
+    rows = [(3, text), (5, other), (5, text + " tail"), (5, third), (5, third), (9, third + " more"), (5, ""), (9, ""), (None, other + " end"), (9, other)]
+    df = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()]
+    # The row without id stands under a negative number, which is the smallest of its class.
+    assert sorted(kept, key=repr) == sorted([(3, text), (5, third), (5, ""), (9, ""), (None, other + " end")], key=repr)
