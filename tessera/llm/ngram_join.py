@@ -18,14 +18,15 @@ How it runs
    Each set also has a parity sketch of 1/32 of its size at most: the bits in
    which two sketches differ bound the shingles in which the sets differ, so
    most pairs that cannot link go before any set is read.
-3. The sets of documents in cells are made once and written. Each joins the
-   group of one of its cells, the one of least hash, which near copies mostly
-   share. The *token-group matrix* has one row a group: its first ``HUB``
-   members, compared among themselves, and the union of their shingles. Every
-   further member is a query of its group: ``|query & union| >= 0.8 |query|`` is
-   needed for any link, and only then the row is opened and its members
-   compared. A second turn with other cells follows; the verified links give
-   groups that hold near copies together, however many they are.
+3. Each set joins the group of one of its cells, the one of least hash, which
+   near copies mostly share. Members of small groups whose sketches leave no
+   partner in the group leave it; the sets of the others are made and written.
+   The *token-group matrix* has one row a group: its first ``HUB`` members,
+   compared among themselves, and the union of their shingles. Every further
+   member is a query of its group: ``|query & union| >= 0.8 |query|`` is needed
+   for any link, and only then the row is opened and its members compared. A
+   second turn with other cells follows; the verified links give groups that
+   hold near copies together, however many they are.
 4. Those groups, in parts of bounded size, become matrix rows again. A document
    that shares a cell with another group is a query of it, bounded by the union
    of each part and compared with the members of the parts that pass. Cells of
@@ -280,7 +281,7 @@ def _cells(table: pa.Table) -> pa.Table:
 
 
 def _pack_sets(alike: frozenset[int]):
-    """(sig, tokens): the sets of documents, as bytes."""
+    """(sig, tokens): the sets of documents, as bytes, each once in a task."""
 
     def run(batches):
         for batch in batches:
@@ -415,7 +416,7 @@ def _ask(matrix: DataFrame, queries: DataFrame, sets: DataFrame, parts: int) ->
     copies = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1")
     copies = _checked(copies, BROADCAST_PARTS)
     n = F.coalesce("copies", F.lit(1))
-    one = queries.join(copies, "g", "left").join(sets, "sig").select(
+    one = sets.join(_checked(queries, BROADCAST_DOCS), "sig").join(copies, "g", "left").select(
         F.xxhash64("g", F.pmod(F.xxhash64("sig"), n).cast("int")).alias("g"), "sig", F.lit(True).alias("query"), "tokens")
     row = F.struct("union", "sizes", "labels", "sigs").alias("row")
     every = matrix.join(copies, "g", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).select(
@@ -423,7 +424,35 @@ def _ask(matrix: DataFrame, queries: DataFrame, sets: DataFrame, parts: int) ->
     return every.unionByName(one, allowMissingColumns=True).repartition(parts, "g").sortWithinPartitions("g", "query").mapInArrow(_open_rows, "a long, b long")
 
 
-def _turn(cells: DataFrame, groups: DataFrame | None, sets: DataFrame, stash: Stash, turn: int, parts: int) -> DataFrame:
+def _possible(batches):
+    """(g, sig, all): members of small groups with a partner by sketches. Rows come sorted by group."""
+    held: list[tuple] = []
+
+    def kept():
+        use = set()
+        for k, (_, _, _, n, mark) in enumerate(held):
+            for j in range(k):
+                m, own = held[j][3:]
+                if (k not in use or j not in use) and 100 * min(n, m) >= PERCENT * max(n, m) and sketches_allow(n, mark, m, own):
+                    use |= {k, j}
+        return [held[k][:3] for k in sorted(use)]
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["g", "sig", "all"])
+
+    for batch in batches:
+        found = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "sig", "all", "n", "sketch"))):
+            if held and held[0][0] != row[0]:
+                found += kept()
+                held = []
+            held.append(row)
+        yield rows(found)
+    if held:
+        yield rows(kept())
+
+
+def _turn(cells: DataFrame, groups: DataFrame | None, marks: DataFrame, made, stash: Stash, turn: int, parts: int) -> DataFrame:
     """Links that the groups of one cell of each set give; see 3 of the module."""
     if groups is None:
         live = cells
@@ -431,15 +460,18 @@ def _turn(cells: DataFrame, groups: DataFrame | None, sets: DataFrame, stash: St
         now = cells.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         live = now.join(now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell"), "cell").select("cell", "sig")
     chosen = stash.keep(live.groupBy("sig").agg(F.min_by("cell", F.xxhash64("cell", F.lit(turn))).alias("g")), f"chosen-{turn}")
+    sized = chosen.join(chosen.groupBy("g").agg(F.count("*").alias("all")).where("all > 1"), "g").select("g", "sig", "all")
+    small = sized.where(F.col("all") <= HUB).join(marks.select("sig", "n", "sketch"), "sig").select("g", "sig", "all", "n", "sketch")
+    small = small.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_possible, "g long, sig long, all long")
+    alive = stash.keep(small.unionByName(sized.where(F.col("all") > HUB)), f"alive-{turn}")
+    sets = made(alive.select("sig").distinct(), f"sets-{turn}")
     place = F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
-    hubs = chosen.withColumn("place", place).where(F.col("place") <= HUB).drop("place")
-    sizes = chosen.groupBy("g").agg(F.count("*").alias("all")).where("all > 1")
-    hubs = stash.keep(hubs.join(sizes, "g").withColumn("queries", F.greatest(F.col("all") - HUB, F.lit(0))).drop("all"), f"hubs-{turn}")
-    matrix = stash.keep(hubs.join(sets, "sig").groupBy("g").applyInArrow(_matrix_row(True), _ROW), f"matrix-{turn}")
+    hubs = alive.withColumn("place", place).where(F.col("place") <= HUB).withColumn("queries", F.greatest(F.col("all") - HUB, F.lit(0)))
+    hubs = stash.keep(hubs.select("g", "sig", "queries"), f"hubs-{turn}")
+    matrix = stash.keep(sets.join(_checked(hubs, BROADCAST_DOCS), "sig").groupBy("g").applyInArrow(_matrix_row(True), _ROW), f"matrix-{turn}")
     within = matrix.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b")
-    queries = chosen.join(sizes.where(F.col("all") > HUB), "g", "left_semi").join(hubs.select("g", "sig"), ["g", "sig"], "left_anti")
-    asked = _ask(matrix.where(F.length("tokens") > 0), queries.select("g", "sig"), sets, parts)
-    return stash.keep(within.unionByName(asked), f"links-{turn}")
+    queries = alive.where(F.col("all") > HUB).select("g", "sig").join(hubs.select("g", "sig"), ["g", "sig"], "left_anti")
+    return stash.keep(within.unionByName(_ask(matrix.where(F.length("tokens") > 0), queries, sets, parts)), f"links-{turn}")
 
 
 def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keyed: bool = False) -> DataFrame:
@@ -482,18 +514,21 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "cells",
     )
 
-    # One document stands for each set that meets others; the sets of these are made once.
+    # One document stands for each set that meets others.
     met = cells.select("sig").distinct()
     by_sig = found.where("n > 0").groupBy(F.col("s1").alias("sig"))
     marks = stash.keep(by_sig.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(met, "sig"), "marks")
-    ids = _checked(marks.where("doc_id is not null").select("doc_id").distinct(), BROADCAST_DOCS)
-    again = plain.join(ids, "doc_id", "left_semi").unionByName(plain.where("doc_id is null"))
-    sets = again.select("text").mapInArrow(_pack_sets(alike), "sig long, tokens binary").join(marks.select("sig"), "sig", "left_semi")
-    sets = stash.keep(sets.dropDuplicates(["sig"]), "sets")
+
+    def made(sigs: DataFrame, name: str) -> DataFrame:
+        """(sig, tokens): sets by signature, each made from a document that has it; repeated rows may repeat a set."""
+        sigs = _checked(sigs.join(marks.select("sig", "doc_id"), "sig"), BROADCAST_DOCS)
+        again = plain.join(sigs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").unionByName(plain.where("doc_id is null").select(plain.columns))
+        packed = again.select("text").mapInArrow(_pack_sets(alike), "sig long, tokens binary")
+        return stash.keep(packed.join(sigs, "sig", "left_semi"), name)
 
     links, groups = None, None
     for turn in range(TURNS):
-        found_links = _turn(cells, groups, sets, stash, turn, width)
+        found_links = _turn(cells, groups, marks, made, stash, turn, width)
         links = found_links if links is None else links.unionByName(found_links)
         groups = stash.keep(components(links, stash, f"group-{turn}"), f"groups-{turn}")
 
@@ -509,11 +544,12 @@ def shingle_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     part = F.xxhash64("g", "part").alias("g")
     queries = left.select("sig", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(part, "sig")
     members = of_group.join(left.select("g", "members").distinct(), "g").select("sig", "g", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part")).select(part, "sig")
-    matrix = stash.keep(members.join(sets, "sig").groupBy("g").applyInArrow(_matrix_row(False), _ROW), "matrix")
+    sets = made(members.select("sig").unionByName(left.select("sig")).distinct(), "sets")
+    matrix = stash.keep(sets.join(_checked(members, BROADCAST_DOCS), "sig").groupBy("g").applyInArrow(_matrix_row(False), _ROW), "matrix")
     second = stash.keep(_ask(matrix, queries, sets, width), "second")
     known = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = stash.keep(components(known, stash, "class"), "final")
-    stash.drop("cells", "marks", "sets", "of_group", "left", "matrix", *(f"{name}-{k}" for name in ("chosen", "hubs", "matrix", "groups") for k in range(TURNS)))
+    stash.drop("cells", "marks", "sets", "of_group", "left", "matrix", *(f"{name}-{k}" for name in ("chosen", "alive", "sets", "hubs", "matrix", "groups", "links") for k in range(TURNS)))
 
     by_set = rows.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("least"))
     reached = final.join(by_set, "node")
