@@ -164,9 +164,9 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
         before = F.col(hits)["hits"] if later else none
         more = let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), F.concat(before, _hits(w, F.col(held), count, sizes)).alias("hits")))  # noqa: B023
         marked = marked.withColumn(held, index.scalar()).withColumn(hits, more).drop(held)
-    # Sorted once, and only where there is something to sort.
-    ordered = F.when(F.size(F.col(hits)["hits"]) > 0, F.array_sort(F.col(hits)["hits"])).otherwise(none)
-    folded = let(F.struct(F.col(hits)["n"].alias("n"), ordered.alias("hits")), lambda e: _folded(e["n"], e["hits"]))
+    # One mention of the hits, so that a filter on the result does not look for them again. Sorted only where there is something to sort.
+    ordered = lambda e: F.when(F.size(e["hits"]) > 0, F.array_sort(e["hits"])).otherwise(none)
+    folded = let(F.col(hits), lambda e: let(ordered(e), lambda sorted_hits: _folded(e["n"], sorted_hits)))
     return marked.withColumn(found, folded).drop(hits)
 
 
