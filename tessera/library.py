@@ -387,13 +387,17 @@ def _ls(ctx, df, path, o):
 @operator("ExistsCommand")
 def _exists(ctx, df, path, o):
     """Whether a path is there."""
-    return fs.exists(ctx.spark, _args(o)[0] if o.get("parameters") else path)
+    where = _args(o)[0] if o.get("parameters") else path
+    ctx.allow("file", where, "load")
+    return fs.exists(ctx.spark, where)
 
 
 @operator("FileStatusCommand")
 def _status(ctx, df, path, o):
     """Status of a path."""
-    return fs.status(ctx.spark, _args(o)[0] if o.get("parameters") else path)
+    where = _args(o)[0] if o.get("parameters") else path
+    ctx.allow("file", where, "load")
+    return fs.status(ctx.spark, where)
 
 
 @operator("CopyFromLocal")

@@ -51,6 +51,8 @@ class VectorStore:
 
 def build_qa(spark: SparkSession, docs: DataFrame, store: VectorStore, database: str, table: str, backend, limit: int = 800, separators: tuple[str, ...] = ("\n", ". ")) -> None:
     """Chunk, embed and store texts (doc_id, text); Arrow batches through the backend."""
+    import hashlib
+
     import pyarrow as pa
 
     def chunks(batches):
@@ -58,7 +60,8 @@ def build_qa(spark: SparkSession, docs: DataFrame, store: VectorStore, database:
             ids, texts, vectors = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for k, part in enumerate(split_text(text or "", separators, limit)):
-                    ids.append(doc * 1_000_000 + k)
+                    # Of any document and number of chunks; never negative, as search keeps those for queries.
+                    ids.append(int.from_bytes(hashlib.blake2b(f"{doc}:{k}".encode(), digest_size=8).digest(), "big") >> 1)
                     texts.append(part)
                     vectors.append(backend.embed(part))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], ["id", "content", "vector"])

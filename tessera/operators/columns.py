@@ -32,9 +32,17 @@ def unique_identifier(df: DataFrame, source: str = "new", column: str = "Unique_
     if order_by:
         numbered = df.withColumn("__id", F.row_number().over(W.orderBy(*order_by)).cast("long") + start - 1)
     else:
-        spark = df.sparkSession
-        schema = T.StructType([*df.schema.fields, T.StructField("__id", T.LongType(), False)])
-        numbered = spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)), schema)
+        # A row's monotonic id holds its partition and its place there; partitions, not rows, are read and numbered.
+        placed = df.withColumn("__mono", F.monotonically_increasing_id())
+        part = F.shiftright("__mono", 33)
+        counts = dict(placed.groupBy(part.alias("p")).count().collect())
+        before, first = {}, start
+        for p in sorted(counts):
+            before[p] = first
+            first += counts[p]
+        starts = F.broadcast(df.sparkSession.createDataFrame(sorted(before.items()), "__part long, __first long"))
+        place = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
+        numbered = placed.withColumn("__part", part).join(starts, "__part", "left").withColumn("__id", F.col("__first") + place)
     if there:
         return numbered.select(*[F.col("__id").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
     return numbered.select(F.col("__id").alias(column), *[F.col(f"`{c}`") for c in df.columns])

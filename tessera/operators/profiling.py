@@ -184,8 +184,9 @@ def string_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quartile_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact interpolated quartiles."""
-    return _long(df, columns, lambda c: {name: F.percentile(c.cast("double"), F.lit(p)) for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))})
+    """Exact interpolated quartiles, from one aggregate a column."""
+    points = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    return _long(df, columns, lambda c: {name: F.get(F.percentile(c.cast("double"), points), F.lit(k)) for k, name in enumerate(("q25", "q50", "q75"))})
 
 
 def nist_percentiles(df: DataFrame, column: str, points: Sequence[float]) -> DataFrame:

@@ -153,11 +153,11 @@ RULES = """
 resourceView:
   - metadata: {resources: [{name: system, path: __auth_admin__}]}
     rules: [{rule: {verbs: ["*"], users: {allows: [{name: admin}]}}}]
-  - metadata: {resources: [{name: file, path: "s3a://bucket2/jack"}]}
-    rules: [{rule: {verbs: [load], users: {allows: [{name: jack}], denies: [{name: jack}]}}}]
+  - metadata: {resources: [{name: file, path: "s3a://lake/orchard"}]}
+    rules: [{rule: {verbs: [load], users: {allows: [{name: mara}], denies: [{name: mara}]}}}]
 userView:
-  - metadata: {users: [{name: rose}]}
-    rules: [{rule: {resources: {denies: [{name: file, path: "s3a://bucket3"}]}, verbs: [load]}}]
+  - metadata: {users: [{name: otto}]}
+    rules: [{rule: {resources: {denies: [{name: file, path: "s3a://pond"}]}, verbs: [load]}}]
 """
 
 
@@ -165,14 +165,14 @@ def test_rights(tmp_path, spark):
     store = PolicyStore(str(tmp_path))
     name = store.add(RULES)
     p = store.policy
-    assert p.allowed("admin", Use("system", "__auth_admin__", "run")) and not p.allowed("jack", Use("system", "__auth_admin__", "run"))
-    assert p.allowed("jack", Use("file", "S3A://bucket2/jack/x", "load")) and not p.allowed("rose", Use("file", "s3a://bucket2/jack/x", "load"))
-    assert p.allowed("rose", Use("file", "s3a://bucket2/jack/x", "save")) and not p.allowed("rose", Use("file", "s3a://bucket3/y", "load"))
-    assert p.allowed("rose", Use("file", "s3a://other", "load"))
-    ctx = ScriptContext(spark, "rose", p)
+    assert p.allowed("admin", Use("system", "__auth_admin__", "run")) and not p.allowed("mara", Use("system", "__auth_admin__", "run"))
+    assert p.allowed("mara", Use("file", "S3A://lake/orchard/x", "load")) and not p.allowed("otto", Use("file", "s3a://lake/orchard/x", "load"))
+    assert p.allowed("otto", Use("file", "s3a://lake/orchard/x", "save")) and not p.allowed("otto", Use("file", "s3a://pond/y", "load"))
+    assert p.allowed("otto", Use("file", "s3a://other", "load"))
+    ctx = ScriptContext(spark, "otto", p)
     with pytest.raises(AccessDenied):
-        ctx.run("load parquet.`s3a://bucket3/y` as t;")
-    assert store.delete(name) and Policy([]).allowed("rose", Use("file", "s3a://bucket3/y", "load"))
+        ctx.run("load parquet.`s3a://pond/y` as t;")
+    assert store.delete(name) and Policy([]).allowed("otto", Use("file", "s3a://pond/y", "load"))
 
 
 def test_includes():

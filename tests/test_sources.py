@@ -98,14 +98,17 @@ def test_jdbc(spark, tmp_path):
 
 
 def test_annotations(spark, tmp_path):
-    content = {"contents": [{"data": {"name": n}, "result": {"objects": [{"id": "1", "classType": c, "contour": {"points": [{"x": 1.0, "y": 2.0}], "area": 3.0}}]}} for n, c in (("a.png", "dog"), ("b.png", "cat"))]}
-    (tmp_path / "d.json").write_text(json.dumps(content))
+    shot = lambda url, *objects: {"name": "n", "data": {"image": url, "result": {"objects": [{"objType": "POLYGON", "classType": c, "coordinate": [{"x": x, "y": 2.0} for x in xs]} for c, xs in objects]}}}
+    document = {"version": "1", "datasetName": "d", "exportTime": "t", "contents": [
+        shot("https://store/pets/b.png?sig=1/2", ("dog", [1.0, 3.0]), ("cat", [5.0])), shot("https://store/pets/a.png", ("cat", [4.0])), shot("https://store/none.png")]}
+    (tmp_path / "d.json").write_text(json.dumps(document))
     (tmp_path / "a.png").write_bytes(b"png")
     rows = annotations.load(spark, str(tmp_path / "d.json"), str(tmp_path / "*.png"))
-    assert {r["name"]: r["data"] and bytes(r["data"]) for r in rows.collect()} == {"a.png": b"png", "b.png": None}
-    coco = annotations.to_coco(rows)
+    assert rows.columns == ["name", "meta", "data"] and {r["name"]: r["data"] and bytes(r["data"]) for r in rows.collect()} == {"a.png": b"png", "b.png": None, "none.png": None}
+    coco = annotations.to_coco(annotations.contents(spark, str(tmp_path / "d.json")))
+    assert sorted((r["id"], r["file_name"]) for r in coco["images"].collect()) == [(0, "b.png"), (1, "a.png"), (2, "none.png")]
     assert sorted(map(tuple, coco["categories"].collect())) == [(0, "cat"), (1, "dog")]
-    assert sorted((r["image_id"], r["category_id"], r["segmentation"]) for r in coco["annotations"].collect()) == [(0, 1, [[1.0, 2.0]]), (1, 0, [[1.0, 2.0]])]
+    assert sorted((r["id"], r["image_id"], r["category_id"], r["segmentation"]) for r in coco["annotations"].collect()) == [(0, 0, 1, [[1.0, 2.0, 3.0, 2.0]]), (1, 0, 0, [[5.0, 2.0]]), (2, 1, 0, [[4.0, 2.0]])]
 
 
 def test_http_service(spark):
