@@ -142,7 +142,7 @@ def pattern_distribution(spark, sf_dir):
     return out.select(F.col("columnName").alias("column_name"), "pattern", "n", F.round("ratio", 6).alias("ratio"), F.col("totalCount").alias("total_patterns"))
 
 
-@query("""select doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 200), '[a-z]', 'a', 'g'), '[A-Z一-龻]', 'A', 'g'), '[0-9]', '9', 'g'),
+@query("""select doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '[a-z]', 'a', 'g'), '[A-Z一-龻]', 'A', 'g'), '[0-9]', '9', 'g'),
     'A+|a+|9+|[\\s\\S]'), lambda x: case when length(x) > 1 then substr(x, 1, 1) || '(' || length(x) || ')' else x end), '') as pattern from documents""")
 def alt_pattern_distribution(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", profiling.run_pattern(F.col("text")).alias("pattern"))
@@ -381,7 +381,7 @@ def llm_param(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get(prompts.llm_param(F.create_map(F.lit("type"), F.col("event_type"))), F.lit(0)).alias("param"))
 
 
-@query("select conv_id, turn, 'As ' || role || ': ' || left(text, 40) || ' (' || role || ')' as prompt from conversations")
+@query("select conv_id, turn, 'As ' || role || ': ' || text || ' (' || role || ')' as prompt from conversations")
 def llm_prompt(spark, sf_dir):
     df = table(spark, sf_dir, "conversations")
     return df.select("conv_id", "turn", prompts.llm_prompt(F.lit("As {0}: {1} ({0})"), F.array("role", "text")).alias("prompt"))
@@ -499,7 +499,8 @@ def versioned_table(spark, sf_dir):
     return own.read()
 
 
-@query("""select user_id as k, arg_max(printf('%012d', event_id), (floor(epoch(ts))::bigint, event_id)) as v from events where event_type <> (select min(event_type) from events) group by user_id""")
+@query(f"""select k, arg_max(v, (t, kind, event_id)) as v from (
+    select user_id as k, event_id, printf('%012d', event_id) as v, floor(epoch(ts))::bigint as t, {_CHANGE} as kind from events) group by k having arg_max(kind, (t, kind, event_id)) <> 'DELETE'""")
 def cdc_stream(spark, sf_dir):
     """Change events as files, deletes included, streamed into a versioned table."""
     from ..streaming.versioned import VersionedTable

@@ -108,14 +108,14 @@ SHARED: dict[str, tuple[str, str]] = {
 SPELLED: dict[str, tuple[str, str, str]] = {
     "theta_join": ("part supplier", """
         select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal group by p.p_partkey""", """
-        select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal and p.p_size < 5 group by p.p_partkey"""),
+        select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal group by p.p_partkey"""),
     "asof_join": ("lineitem orders", """
         select l.l_orderkey, l.l_linenumber, l.l_partkey, max_by(o.o_orderkey, struct(o.o_orderdate, o.o_orderkey)) as next_order
         from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate from lineitem) l
         join (select o_orderkey, o_custkey, o_orderdate from orders) o on l.l_suppkey = o.o_custkey and o.o_orderdate <= l.l_shipdate
         group by l.l_orderkey, l.l_linenumber, l.l_partkey""", """
         select l_orderkey, l_linenumber, l_partkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as next_order
-        from lineitem join orders on l_suppkey = o_custkey and o_orderdate <= l_shipdate where l_quantity = 1 group by l_orderkey, l_linenumber, l_partkey"""),
+        from lineitem join orders on l_suppkey = o_custkey and o_orderdate <= l_shipdate group by l_orderkey, l_linenumber, l_partkey"""),
     "tumbling_window": ("events", """
         select window(ts, '1 hour').start as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by window(ts, '1 hour'), event_type""", """
         select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2"""),
