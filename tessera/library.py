@@ -346,10 +346,11 @@ def _feature_store(ctx, df, path, o):
 
 def _external_sql(ctx, df, path, o):
     """A query on an external engine's named connection."""
-    return _jdbc(ctx).query(o["connection"], o.get("sql") or f"select * from {path}")
+    split = (o["partitionColumn"], int(o.get("numPartitions", 8))) if o.get("partitionColumn") else None
+    return _jdbc(ctx).query(o["connection"], o.get("sql") or f"select * from {path}", split=split)
 
 
-operator("AthenaExt", Param("connection"), Param("sql"))(_external_sql)
+operator("AthenaExt", Param("connection"), Param("sql"), Param("partitionColumn"), Param("numPartitions", "8"))(_external_sql)
 operator("AthenaSchemaExt", Param("connection"), Param("sql"))(lambda ctx, df, path, o: ctx.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in _external_sql(ctx, df, path, o).schema.fields], "col_name string, data_type string"))
 
 

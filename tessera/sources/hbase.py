@@ -2,7 +2,9 @@
 
 The client is a transport that a deployment gives: an object with
 ``scan(table, family)``, which yields (rowkey, {(family, column): (bytes, ts)}),
-and ``put(table, rows)``. Codecs and shapes are here and need none.
+and ``put(table, rows)``. One with ``create(table, family, splits)`` makes a
+missing table, split in as many regions as the option ``numReg`` says. Codecs and
+shapes are here and need none.
 """
 
 from __future__ import annotations
@@ -95,6 +97,10 @@ def write(df: DataFrame, connect, path: str, options: dict[str, str]) -> None:
     _, namespace, table = parse_address(path)
     key, family, suffix = options.get("rowkey", "rowkey"), options.get("family", "f"), options.get("tsSuffix")
     types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    if int(options.get("numReg", 0)):
+        own = connect()
+        if hasattr(own, "create"):
+            own.create(f"{namespace}:{table}", family, split_keys(int(options["numReg"])))
 
     def put(rows):
         connect().put(f"{namespace}:{table}", [cells_of(r.asDict(), family, key, suffix, types) for r in rows])

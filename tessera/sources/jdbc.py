@@ -66,11 +66,24 @@ class Connections:
         finally:
             connection.close()
 
-    def query(self, name: str, sql: str, cache: str | None = None) -> DataFrame:
-        """A query as a table; with a cache folder it is read once and kept as Parquet."""
-        own = self._options(name)
+    def query(self, name: str, sql: str, cache: str | None = None, split: tuple[str, int] | None = None) -> DataFrame:
+        """A query as a table; with a cache folder it is read once and kept as Parquet.
+
+        ``split`` names a numeric or date column of the result and a number of
+        tasks: the column's least and largest values are asked for first, and
+        each task reads its share of the range. Rows without a value are in one.
+        """
+        own, sql = self._options(name), sql.strip().rstrip(";")
         database = own["url"].split(":")[1] if own["url"].count(":") else ""
-        reader = self.spark.read.format("jdbc").options(**own).option("query", sql.strip().rstrip(";"))
+        reader = self.spark.read.format("jdbc").options(**own)
+        bounds = None
+        if split is not None and split[1] > 1:
+            bounds = reader.option("query", f"select min({split[0]}) as low, max({split[0]}) as high from ({sql}) q").load().first()
+        if bounds is not None and bounds[0] is not None:
+            reader = self.spark.read.format("jdbc").options(**own).option("dbtable", f"({sql}) q").options(
+                partitionColumn=split[0], lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(split[1]))
+        else:
+            reader = self.spark.read.format("jdbc").options(**own).option("query", sql)
         if database in FETCH_SIZES:
             reader = reader.option("fetchsize", FETCH_SIZES[database])
         df = reader.load()

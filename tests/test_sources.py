@@ -82,6 +82,18 @@ def test_hbase_shapes(spark):
         def scan(self, table, family):
             return [(b"r", cells), (b"empty", {})]
 
+    made = []
+
+    class Maker:
+        def create(self, table, family, splits):
+            made.append((table, family, splits))
+
+        def put(self, table, rows):
+            pass
+
+    hbase.write(spark.createDataFrame([("a", 1)], "rowkey string, v int").limit(0), Maker, "ns:t", {"numReg": "5"})
+    assert made == [("ns:t", "f", hbase.split_keys(5))]
+
     row = hbase.read(spark, Client(), "ns:t", {"field.type.v": "int"}).collect()
     assert [r["rowkey"] for r in row] == ["r"] and json.loads(row[0]["content"]) == {"f:v": 3, "f:v_ts": 9}
 
@@ -93,6 +105,15 @@ def test_jdbc(spark, tmp_path):
     own.execute("d", "create table t (k int, v varchar(10))")
     assert own.execute("d", "insert into t values (1, 'a'), (2, 'b')") == 2
     assert sorted(map(tuple, own.query("d", "select * from t", str(tmp_path / "cache")).collect())) == [(1, "a"), (2, "b")]
+    own.execute("d", "insert into t values (null, 'n')")
+    shared = own.query("d", "select * from t where v <> 'b';", split=("k", 3))
+    assert sorted(map(tuple, shared.collect()), key=repr) == [(1, "a"), (None, "n")]
+    own.execute("d", "delete from t where k is null")
+    own.execute("d", "create table w (k int)")
+    own.execute("d", "insert into w values (1), (40), (90), (null)")
+    wide = own.query("d", "select k from w", split=("k", 3))
+    assert wide.rdd.getNumPartitions() == 3 and sorted((r[0] for r in wide.collect()), key=repr) == sorted([1, 40, 90, None], key=repr)
+    assert own.query("d", "select k from w where k > 1000", split=("k", 3)).count() == 0
     assert own.run_ordered("d", {"sql-1": "insert into t values (3, 'c')", "sql-2": "select count(*) as n from t"}).first()[0] == 3
     assert own.remove("d") and not own.remove("d")
 
