@@ -25,9 +25,3 @@ def sample_frame(docs: DataFrame, labels: DataFrame, label: str, folds: int, fol
     )
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(known), "doc_id")
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """The rows of ``sample_frame`` as pairs (text, label), in a fixed order."""
-    found = sample_frame(docs, labels, label, folds, fold, rows).collect()
-    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["label"], r["text"]))]

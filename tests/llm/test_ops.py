@@ -279,7 +279,7 @@ def test_sets_of_one_signature_are_told_apart():
     (_, h, at, s1, s2), = ngram_join._sets(texts)
     (_, _, _, other, _), = ngram_join._sets(texts, frozenset([int(s1.view(np.int64)[1])]))
     assert s1[0] == s1[2] == other[0] == other[2] and other[1] == textvec.mix(s1 ^ s2)[1] != s1[1] and s2[0] == s2[2] != s2[1]
-    batch = pa.record_batch({"doc_id": [1, 2, 3], "n": np.diff(at), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": [b"", b"", b""]})
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "key": [4, 5, 6], "n": np.diff(at), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": [b"", b"", b""]})
     assert next(ngram_join._mixed([batch])).column("s1").to_numpy().view(np.uint64)[1] == other[1]
 
 

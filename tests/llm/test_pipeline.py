@@ -11,7 +11,7 @@ import corpus_pipeline
 from test_ops import AWKWARD, DOCS, classes_by_hand, dedup_by_hand, scan_by_hand
 
 from tessera.llm import quality_crf, textvec
-from tessera.llm.labelled import sample
+from tessera.llm.labelled import sample_frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,11 @@ def rows(df):
     return sorted((r["doc_id"], r["text"]) for r in df.collect())
 
 
+def sample(*args):
+    """The rows that a classifier is fitted on, in a fixed order."""
+    return [(r["text"], r["label"]) for r in sorted(sample_frame(*args).collect(), key=lambda r: (r["doc_id"], r["label"], r["text"]))]
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, stages = zip(*corpus_pipeline.STAGES)
