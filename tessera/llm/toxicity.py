@@ -12,9 +12,10 @@ Fitting collects no texts. Executors count features by slot; the driver reads
 the ``MAX_FEATURES`` slots that tell the two kinds apart best, and then each
 labelled text as its numbers among these, at most ``labelled.MAX_ROWS`` texts
 (two bytes a number: at most 50 MB and three times that with counterfactuals).
-``MAX_FEATURES`` bounds the model: at sf0.1, where texts have 1.4 million
-features, 4096 hold all of those whose kinds differ by more than 2.5 times what
-chance would give, and 16384 score no held-out text otherwise.
+``MAX_FEATURES`` bounds the model: at sf0.1 the labelled texts have 72,115 slots
+that four texts or more hold, of which 183 differ by more than chance brings; the
+4096th differs by 1.9 deviations. With 16,384 features 3 of 825 held-out
+predictions are others.
 
 Defined results: a null or empty text has the score of a text without any known
 feature; each row is scored by itself, repeated or not, its whole text however
