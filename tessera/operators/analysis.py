@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ordered import running_sums
+
 
 def approx_quantile(df: DataFrame, column: str, q: float, error: float = 0.0) -> DataFrame:
     """(value): a quantile of a numeric column; error 0 is exact."""
@@ -117,22 +119,19 @@ def _named(wide: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in wide.columns])).alias("r")).select("r.*")
 
 
+def _roc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Folded scores with their own and running counts, highest first, and the totals."""
+    at = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    summed = running_sums(at, [F.col("threshold").isNull(), -F.col("threshold")], {"p_upto": F.col("p"), "n_upto": F.col("n")})
+    return summed.crossJoin(F.broadcast(at.agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))))
+
+
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score, highest first. Equal scores fold before any order is made."""
-    from pyspark.sql import Window as W
-
-    at = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    order = W.orderBy(F.desc("threshold"))
-    every = W.partitionBy()
-    return at.select("threshold", (F.sum("p").over(order) / F.sum("p").over(every)).alias("tpr"), (F.sum("n").over(order) / F.sum("n").over(every)).alias("fpr"))
+    return _roc(df, label, score).select("threshold", (F.col("p_upto") / F.col("p_all")).alias("tpr"), (F.col("n_upto") / F.col("n_all")).alias("fpr"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(auc): area under the curve by trapezoids."""
-    from pyspark.sql import Window as W
-
-    points = roc_points(df, label, score)
-    order = W.orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0.0))
-    area = (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2
-    return points.select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    """(auc): area under the curve by trapezoids; a point's own counts give its step."""
+    area = F.col("n") / F.col("n_all") * (2 * F.col("p_upto") - F.col("p")) / F.col("p_all") / 2
+    return _roc(df, label, score).agg(F.sum(area).alias("auc"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.predicates import is_numeric
+from .ordered import running_sums
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,7 +19,8 @@ def unique_identifier(df: DataFrame, source: str = "new", column: str = "Unique_
     """Consecutive bigint ids from ``start``, as first column (``new``) or in place (``replace``).
 
     Without ``order_by`` ids follow the rows' partitions: partition sizes are
-    counted first, so no task orders the table. With it they follow that order.
+    counted first, so no task orders the table. With it they follow that order,
+    range by range; rows alike in it come by the hash of their columns.
     """
     try:
         start = int(start)
@@ -30,7 +32,8 @@ def unique_identifier(df: DataFrame, source: str = "new", column: str = "Unique_
     if source == "new" and there:
         raise ValueError(f"column {column} exists already")
     if order_by:
-        numbered = df.withColumn("__id", F.row_number().over(W.orderBy(*order_by)).cast("long") + start - 1)
+        ties = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        numbered = running_sums(df, [*map(F.col, order_by), ties], {"__id": F.lit(1)}).withColumn("__id", F.col("__id") + (start - 1))
     else:
         # A row's monotonic id holds its partition and its place there; partitions, not rows, are read and numbered.
         placed = df.withColumn("__mono", F.monotonically_increasing_id())
@@ -170,7 +173,7 @@ def unpivot(df: DataFrame, index: Sequence[str], columns: Sequence[str], names:
 def category_index(df: DataFrame, column: str) -> DataFrame:
     """(value, index): categories numbered by falling frequency, then value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", (F.row_number().over(W.orderBy(F.desc("n"), "value")) - 1).alias("index"))
+    return running_sums(counts, [-F.col("n"), F.col("value")], {"index": F.lit(1)}).select("value", (F.col("index") - 1).cast("int").alias("index"))
 
 
 def onehot(df: DataFrame, columns: Sequence[str]):

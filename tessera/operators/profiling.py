@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.predicates import fixed_bytes, is_numeric, non_blank, type_name
+from .ordered import running_sums
 
 #: Metrics in the order of the output.
 METRICS = (
@@ -15,6 +16,7 @@ METRICS = (
     "nullValueRatio", "skewness", "totalCount", "standardDeviation", "standardError", "uniqueValueRatio", "categoryCount", "primaryKeyCandidate", "mode",
 )
 DEFAULT_METRICS = tuple(m for m in METRICS if m not in ("%25", "%75", "skewness", "categoryCount"))
+QUARTILES = (0.25, 0.5, 0.75)
 _RATIOS = ("blankValueRatio", "nullValueRatio", "uniqueValueRatio")
 _COUNTS = ("dataLength", "maximumLength", "minimumLength", "nonNullCount", "totalCount", "categoryCount", "primaryKeyCandidate")
 
@@ -25,8 +27,8 @@ def _check_names(df: DataFrame) -> None:
         raise ValueError(f"column names may not hold a dot or a backtick: {', '.join(bad)}")
 
 
-def _single_pass(df: DataFrame, relative_error: float, exact: bool) -> dict:
-    """All metrics that one aggregate gives, by (column, metric)."""
+def _single_pass(df: DataFrame, relative_error: float | None) -> dict:
+    """All metrics that one aggregate gives, by (column, metric); estimated quartiles only with a ``relative_error``."""
     aggs: dict[tuple[str, str], Column] = {}
     total = F.count(F.lit(1))
     for field in df.schema.fields:
@@ -50,8 +52,8 @@ def _single_pass(df: DataFrame, relative_error: float, exact: bool) -> dict:
             aggs[name, "standardDeviation"] = F.stddev_samp(number)
             aggs[name, "standardError"] = F.stddev_samp(number) / F.sqrt(F.count(number))
             aggs[name, "skewness"] = F.skewness(number)
-            points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            aggs[name, "quartiles"] = F.percentile(number, points) if exact else F.percentile_approx(number, points, int(1 / relative_error))
+            if relative_error:
+                aggs[name, "quartiles"] = F.percentile_approx(number, F.array(*map(F.lit, QUARTILES)), int(1 / relative_error))
     row = df.agg(*[c.alias(f"m{k}") for k, c in enumerate(aggs.values())]).first()
     return dict(zip(aggs, row))
 
@@ -137,7 +139,9 @@ def data_summary(
     if not df.columns:
         return spark.createDataFrame([], schema)
     exact = approx_threshold < 0 or df.limit(approx_threshold + 1).count() <= approx_threshold
-    got = _single_pass(df, relative_error, exact or relative_error == 0)
+    ranked_wanted = bool({"%25", "median", "%75"} & set(chosen))
+    estimated = ranked_wanted and not exact and relative_error > 0 and percentile_method == "interpolated"
+    got = _single_pass(df, relative_error if estimated else None)
     if not got[df.columns[0], "totalCount"]:
         return spark.createDataFrame([], schema)
     need_values = {"mode"} & set(chosen) or {"uniqueValueRatio", "categoryCount", "primaryKeyCandidate"} & set(chosen)
@@ -148,8 +152,9 @@ def data_summary(
         sketch = df.agg(*[F.approx_count_distinct(F.when(non_blank(f.name, f.dataType), F.col(f"`{f.name}`"))).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]).first()
         values = {f.name: {"categories": sketch[k], "mode": None, "least_mode": None} for k, f in enumerate(df.schema.fields)}
     ranked = {}
-    if percentile_method == "nist" and {"%25", "median", "%75"} & set(chosen):
-        ranked = _nist_quartiles(df)
+    numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+    if ranked_wanted and not estimated and numbers:
+        ranked = dict(exact_percentiles(df, numbers, QUARTILES, percentile_method).collect())
     rows = []
     for place, field in enumerate(df.schema.fields, 1):
         name, kind = field.name, field.dataType
@@ -183,36 +188,47 @@ def string_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     })
 
 
+def _number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(columnName, value, n): the numbers of all columns as doubles, folded by one unpivot and one aggregate."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numbers = df.select(*[F.when(non_blank(c, kinds[c]), F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    long = numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "columnName", "value").where("value is not null")
+    return long.groupBy("columnName", "value").agg(F.count("*").alias("n"))
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[float] = QUARTILES, method: str = "interpolated") -> DataFrame:
+    """(columnName, percentiles): exact percentiles of all columns, at rank 1 + p (n - 1) or (``method="nist"``) p (n + 1).
+
+    Values fold by column first and get ranks by running sums over ranges, so
+    no task holds the values of a column.
+    """
+    counts = _number_counts(df, columns)
+    ranked = running_sums(counts, [F.col("columnName"), F.col("value")], {"hi": F.col("n")})
+    of_column = counts.groupBy("columnName").agg(F.sum("n").alias("all"))
+    before = F.coalesce(F.sum("all").over(W.orderBy("columnName").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranked.join(F.broadcast(of_column.withColumn("before", before)), "columnName")
+    hi = F.col("hi") - F.col("before")
+    lo = hi - F.col("n") + 1
+    ends = []
+    for p in points:
+        rank = F.lit(p) * (F.col("all") - 1) + 1 if method == "interpolated" else F.least(F.greatest(F.lit(p) * (F.col("all") + 1), F.lit(1.0)), F.col("all").cast("double"))
+        at = lambda r: F.max(F.when((lo <= r) & (hi >= r), F.col("value")))  # noqa: B023, E731
+        ends.append(F.struct(at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"), F.max(rank - F.floor(rank)).alias("share")))
+    found = placed.groupBy("columnName").agg(F.array(*ends).alias("e"))
+    return found.select("columnName", F.transform("e", lambda e: e["low"] + e["share"] * (e["high"] - e["low"])).alias("percentiles"))
+
+
 def quartile_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact interpolated quartiles, from one aggregate a column."""
-    points = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    return _long(df, columns, lambda c: {name: F.get(F.percentile(c.cast("double"), points), F.lit(k)) for k, name in enumerate(("q25", "q50", "q75"))})
+    """Exact interpolated quartiles of all columns."""
+    found = exact_percentiles(df, columns)
+    return found.select(F.col("columnName").alias("column_name"), *[F.get("percentiles", F.lit(k)).alias(name) for k, name in enumerate(("q25", "q50", "q75"))])
 
 
 def nist_percentiles(df: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
     """(p, value): percentiles at rank p (n + 1), interpolated between neighbours."""
-    from pyspark.sql import Window as W
-
-    # Equal values fold first; each value then knows the ranks it covers.
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("k"))
-    upto = counts.withColumn("hi", F.sum("k").over(W.orderBy("v"))).withColumn("lo", F.col("hi") - F.col("k") + 1)
-    total = counts.agg(F.sum("k").alias("n"))
-    ranks = df.sparkSession.createDataFrame([(float(p),) for p in points], "p double").crossJoin(total)
-    ranks = ranks.withColumn("r", F.least(F.greatest(F.col("p") * (F.col("n") + 1), F.lit(1.0)), F.col("n").cast("double")))
-    at = ranks.join(upto, (F.col("lo") <= F.ceil("r")) & (F.col("hi") >= F.floor("r")))
-    low = F.max(F.when((F.col("lo") <= F.floor("r")) & (F.col("hi") >= F.floor("r")), F.col("v")))
-    high = F.max(F.when((F.col("lo") <= F.ceil("r")) & (F.col("hi") >= F.ceil("r")), F.col("v")))
-    return at.groupBy("p", "r").agg(low.alias("low"), high.alias("high")).select("p", (F.col("low") + (F.col("r") - F.floor("r")) * (F.col("high") - F.col("low"))).alias("value"))
-
-
-def _nist_quartiles(df: DataFrame) -> dict[str, list[float]]:
-    found = {}
-    for f in df.schema.fields:
-        if is_numeric(f.dataType):
-            values = df.select(F.when(non_blank(f.name, f.dataType), F.col(f"`{f.name}`")).alias("v"))
-            rows = {r["p"]: r["value"] for r in nist_percentiles(values, "v", (0.25, 0.5, 0.75)).collect()}
-            found[f.name] = [rows.get(p) for p in (0.25, 0.5, 0.75)]
-    return found
+    found = exact_percentiles(df, [column], points, "nist")
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in points]).alias("p"), F.col("percentiles").alias("value"))
+    return found.select(F.explode(pairs).alias("r")).select("r.p", "r.value")
 
 
 def _long(df: DataFrame, columns: Sequence[str], metrics) -> DataFrame:
@@ -225,8 +241,6 @@ def descriptive_metrics(df: DataFrame, metric_size: int = 100, exclude_empty: bo
     """(columnName, value, n): the most frequent values of each column, by count then value."""
     if metric_size <= 0:
         raise ValueError("metricSize must be positive")
-    from pyspark.sql import Window as W
-
     best = _frequencies(df, exclude_empty).withColumn("rank", F.row_number().over(W.partitionBy("columnName").orderBy(F.desc("n"), "value")))
     return best.where(F.col("rank") <= metric_size).drop("rank")
 
@@ -240,7 +254,6 @@ def descriptive_metrics_json(df: DataFrame, metric_size: int = 100, exclude_empt
 
 
 
-
 def value_pattern(col: Column) -> Column:
     """Each character by its class: A, a, 9, or itself."""
     out = F.regexp_replace(col, "[a-z]", "a")
@@ -262,8 +275,6 @@ def pattern_distribution(df: DataFrame, limit: int = 100, pattern_limit: int = 1
     ``totalCount`` is the number of distinct patterns; ``limit`` rows a column
     at most, by count then pattern.
     """
-    from pyspark.sql import Window as W
-
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df.sparkSession.createDataFrame([], "columnName string, pattern string, alternativePattern string, n long, ratio double, totalCount long")

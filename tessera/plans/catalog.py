@@ -64,7 +64,39 @@ def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query()
+def _shown(x: str, places: int = 2) -> str:
+    """A number as profiles print it: rounded half up, with one decimal at least and no other trailing zeros."""
+    return f"coalesce(cast(cast(round(cast({x} as decimal(38, 12)), {places}) as double) + 0.0 as varchar), '')"
+
+
+def _summary_sql(name: str, place: int, kind: str, size: str) -> str:
+    """All metrics of one column of lineitem that has no null or blank."""
+    number, text = kind in ("long", "integer", "double"), kind == "string"
+    shown = _shown if number else lambda x, places=2: f"cast({x} as varchar)"
+    only = lambda have, x: x if have else "''"
+    skew = "(avg(v^3) - 3 * avg(v) * avg(v^2) + 2 * avg(v)^3) / power(var_pop(v), 1.5)"
+    metrics = {
+        "%25": only(number, _shown("quantile_cont(v, 0.25)")), "median": only(number, _shown("quantile_cont(v, 0.5)")), "%75": only(number, _shown("quantile_cont(v, 0.75)")),
+        "blankValueRatio": _shown("avg((trim(cast(v as varchar)) = '')::int)", 4), "dataLength": "cast(max(length(v)) as varchar)" if text else f"'{size}'", "dataType": f"'{kind}'",
+        "max": shown("max(v)"), "maximumLength": only(text, "cast(max(length(v)) as varchar)"), "mean": only(number, _shown("avg(v)")), "min": shown("min(v)"),
+        "minimumLength": only(text, "cast(min(length(v)) as varchar)"), "nonNullCount": "cast(count(v) as varchar)", "nullValueRatio": _shown("avg((v is null)::int)", 4),
+        "skewness": only(number, _shown(skew)), "totalCount": "cast(count(*) as varchar)", "standardDeviation": only(number, _shown("stddev_samp(v)")),
+        "standardError": only(number, _shown("stddev_samp(v) / sqrt(count(v))")), "uniqueValueRatio": _shown("count(distinct v) / count(v)", 4),
+        "categoryCount": "'0'" if number else "cast(count(distinct v) as varchar)", "primaryKeyCandidate": "cast((count(distinct v) = count(v))::int as varchar)",
+        "mode": f"(select case when count(*) = 1 then {shown('min(w)')} else '' end from (select {name} as w, count(*) as n, max(count(*)) over () as top from lineitem group by 1) where n = top)",
+    }
+    listed = ", ".join(f'{x} as "{m}"' for m, x in metrics.items())
+    value = f"cast({name} as double)" if number else name
+    return f"select '{name}' as \"columnName\", '{place}' as \"ordinalPosition\", {listed} from (select {value} as v from lineitem)"
+
+
+_LINEITEM = (
+    ("l_orderkey", "long", "8"), ("l_partkey", "long", "8"), ("l_suppkey", "long", "8"), ("l_linenumber", "integer", "4"), ("l_quantity", "double", "8"), ("l_extendedprice", "double", "8"),
+    ("l_discount", "double", "8"), ("l_tax", "double", "8"), ("l_returnflag", "string", ""), ("l_linestatus", "string", ""), ("l_shipdate", "timestamp_ntz", "8"),
+)
+
+
+@query(" union all ".join(_summary_sql(name, place, kind, size) for place, (name, kind, size) in enumerate(_LINEITEM, 1)))
 def summary_compat(spark, sf_dir):
     return profiling.data_summary(table(spark, sf_dir, "lineitem"), metrics=profiling.METRICS, approx_threshold=-1)
 
@@ -169,7 +201,10 @@ def pearson(spark, sf_dir):
     return _rounded(analysis.columns_analysis(table(spark, sf_dir, "lineitem"), "PEARSON_DV", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), 6, "statistic")
 
 
-@query()
+@query("""with z as (select (l_extendedprice - 30000) / 20000 as z, count(*) as k from lineitem group by 1),
+    r as (select z, k, sum(k) over (order by z) as upto, sum(k) over () as n, z / sqrt(2) as x from z),
+    f as (select k, upto, n, 0.5 + list_sum(list_transform(range(90), lambda j: pow(-1, j) * pow(x, 2 * j + 1) / (gamma(j + 1) * (2 * j + 1)))) / sqrt(pi()) as f from r)
+    select 'z' as "colName", round(max(greatest(upto / n - f, f - (upto - k) / n)), 6) as statistic from f""")
 def ks_normal(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(((F.col("l_extendedprice") - 30000) / 20000).alias("z"))
     return _rounded(analysis.columns_analysis(df, "KS", ["z"]), 6, "statistic")
@@ -393,7 +428,12 @@ def llm_result(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", prompts.llm_result(answers).alias("output"))
 
 
-@query()
+_CUT = r"""case when length(text) - {at} > 400 then coalesce(nullif(length(regexp_extract(substr(text, {at} + 1, 400), '(?s)^.*(?:\n|\. )')), 0), 400) else length(text) - {at} end"""
+
+
+@query(f"""with recursive c as (select doc_id, text, 0 as start, 0 as content_id, {_CUT.format(at="0")} as n_chars from documents where text is not null
+    union all select doc_id, text, start + n_chars, content_id + 1, {_CUT.format(at="(start + n_chars)")} from c where start + n_chars < length(text))
+    select doc_id, content_id::int as content_id, n_chars::int as n_chars from c""")
 def llm_split(spark, sf_dir):
     prompts.register(spark)
     df = table(spark, sf_dir, "documents").selectExpr("doc_id", r"explode(llm_split(text, array('\n', '. '), 400)) as c")
