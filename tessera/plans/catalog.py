@@ -585,3 +585,6 @@ def script_summary(spark, sf_dir):
         run script_prices as DataSummary.`` where metrics="max,totalCount" and approxThreshold="-1" as script_profile;
         select columnName, round(cast(max as double), 2) as max, cast(totalCount as bigint) as n from script_profile as script_out;
     """)
+
+
+from . import scripted  # noqa: E402, F401  registers its queries here

@@ -9,10 +9,12 @@ from tessera.plans import catalog
 
 #: Queries that leave the JVM, each for a reason.
 PYTHON = {
-    "cosine_topk": "matrix products", "llm_split": "a sequential cut", "summary_compat": "formatted on the driver", "row_ids": "", "cdc_stream": "a written stream",
+    "cosine_topk": "matrix products", "llm_split": "a sequential cut", "summary_compat": "formatted on the driver", "cdc_stream": "a written stream",
+    "source_excel": "a file format of our own", "binning_function": "a function over arrays of texts", "llm_infer": "a model", "llm_stack": "JSON merged by Python",
+    "qa_chunks": "a sequential cut and a model", "vector_search": "matrix products",
 }
 #: Joins without an equality are what these are about, or have one row on a side.
-UNEQUAL = {"cross_join", "theta_join", "range_join", "late_filter", "scalar_subquery", "summary_nist_percentile", "cte", "pk_candidate"}
+UNEQUAL = {"cross_join", "theta_join", "range_join", "late_filter", "scalar_subquery", "summary_nist_percentile", "summary_quartiles", "roc_points", "auc", "onehot_index", "row_ids", "cte", "pk_candidate"}
 
 
 def plan(df):
