@@ -561,6 +561,23 @@ def _qa_builder(ctx, df, path, o):
     return store.read(o.get("database", "default"), o.get("table", "qa")).select("id", "content")
 
 
+def _qa_store(ctx, o):
+    return vector_store.VectorStore(ctx.spark, f"{ctx.variables['metaPath']}/vectors/{o.get('clusterName', 'default')}")
+
+
+def _qa_function(ctx, path, name, o):
+    """SQL function from a question to a JSON answer."""
+    make = serving.BACKENDS[o.get("backend", "mock")]
+    vector_store.deploy(ctx.spark, _qa_store(ctx, o), o.get("database", "default"), o.get("table", path or "qa"), make, o, name, int(o.get("k", 4)))
+
+
+@operator("LLMQADeploy", Param("database", "default"), Param("table", "qa"), Param("k", "4"), Param("clusterName", "default"), Param("backend", "mock"), function=_qa_function)
+def _qa_deploy(ctx, df, path, o):
+    """Answers to a table of questions (id, question); ``register`` makes a function of it."""
+    backend = serving.BACKENDS[o.get("backend", "mock")](o)
+    return vector_store.answers(_qa_store(ctx, o), o.get("database", "default"), o.get("table", path or "qa"), backend, df, int(o.get("k", 4)))
+
+
 #: Session settings by profile; fixed names.
 PROFILES = {"single": {"maxConcurrency": "1", "num_gpus": "1"}, "sft": {"maxConcurrency": "1", "num_gpus": "1", "dataMode": "model"}, "sfft": {"maxConcurrency": "1", "num_gpus": "8"}, "data": {"dataMode": "data"}, "retrieval": {"num_gpus": "0"}}
 

@@ -29,7 +29,7 @@ ALIASES = {"numRound": "maxIter", "num_round": "maxIter", "eta": "stepSize", "le
 
 
 def configure(estimator, params: dict[str, str]):
-    """An estimator with parameters from texts; those it does not know are ignored."""
+    """An estimator with parameters from texts; those it does not know are ignored, and ``unused`` names them."""
     for key, text in params.items():
         name = ALIASES.get(key, key)
         if not estimator.hasParam(name):
@@ -43,6 +43,11 @@ def configure(estimator, params: dict[str, str]):
     return estimator
 
 
+def unused(estimator, params: dict[str, str]) -> list[str]:
+    """Parameters that an estimator does not know."""
+    return sorted(k for k in params if not estimator.hasParam(ALIASES.get(k, k)))
+
+
 def classifier(classes: int):
     """Boosted trees; more than two classes by one against the rest."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
@@ -108,7 +113,8 @@ def train(df: DataFrame, path: str, make: Callable, options: dict[str, str], alg
                 model = estimator.fit(df)
             model.write().overwrite().save(model_path)
             metrics = _metrics(model, as_vectors(evaluate), label, numeric) if evaluate is not None else []
-            rows.append((model_path, k, alg, metrics, "success", "", began, int(time.time() * 1000), group))
+            idle = unused(estimator, group)
+            rows.append((model_path, k, alg, metrics, "success", f"without effect: {', '.join(idle)}" if idle else "", began, int(time.time() * 1000), group))
         except Exception as error:
             rows.append((model_path, k, alg, [], "fail", str(error)[:2000], began, int(time.time() * 1000), group))
     result = spark.createDataFrame(rows, RESULT)
@@ -130,8 +136,12 @@ def best_model(spark, path: str, index: int | None = None, metric: str = "f1"):
 
 
 def explain(model) -> list[tuple[str, str]]:
-    """(name, value) of a model's parameters."""
-    return sorted((p.name, str(v)) for p, v in model.extractParamMap().items())
+    """(name, value) of a model's parameters, and what its trees say of their features."""
+    rows = sorted((p.name, str(v)) for p, v in model.extractParamMap().items())
+    if hasattr(model, "featureImportances"):
+        rows += [(f"featureImportances.{k}", str(v)) for k, v in enumerate(model.featureImportances.toArray().tolist()) if v]
+        rows += [("numFeatures", str(model.numFeatures)), ("totalNumNodes", str(model.totalNumNodes))]
+    return rows
 
 
 def automl(df: DataFrame, label: str = "label", algorithms: tuple[str, ...] = ("GBTClassifier", "LogisticRegression", "NaiveBayes", "RandomForest"), sorted_by: str = "f1", seed: int = 7):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.prompts import split_text
@@ -72,9 +73,78 @@ def build_qa(spark: SparkSession, docs: DataFrame, store: VectorStore, database:
     store.add(database, table, rows)
 
 
+def answers(store: VectorStore, database: str, table: str, backend, questions: DataFrame, k: int = 4) -> DataFrame:
+    """(id, answer): JSON answers to questions(id, question) from the chunks nearest to each.
+
+    Questions are embedded and answered by Arrow batches on the executors; the
+    search deals with them in blocks. Null questions are asked as empty ones,
+    and a question like no chunk is answered without any.
+    """
+    import pyarrow as pa
+
+    def embed(batches):
+        for batch in batches:
+            vectors = [backend.embed(q or "") for q in batch.column("question").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("question"), pa.array(vectors, pa.list_(pa.float64()))], ["id", "question", "vector"])
+
+    def say(batches):
+        for batch in batches:
+            out = []
+            for question, found in zip(batch.column("question").to_pylist(), batch.column("found").to_pylist()):
+                context = "\n".join(r["content"] for r in found or [])
+                said = backend.generate(f"{context}\n\n{question or ''}", {})
+                out.append(json.dumps({"output": said, "sources": [r["vec_id"] for r in found or []]}, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "answer"])
+
+    asked = questions.select(F.col("id").cast("long").alias("id"), F.col("question").cast("string").alias("question")).where("id is not null")
+    embedded = asked.mapInArrow(embed, "id long, question string, vector array<double>")
+    best = store.search(database, table, embedded.select("id", "vector"), k)
+    item = F.struct((-F.col("similarity")).alias("far"), "vec_id", "content")
+    found = best.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("found"))
+    return asked.join(found, "id", "left").mapInArrow(say, "id long, answer string")
+
+
 def answer(spark: SparkSession, store: VectorStore, database: str, table: str, backend, question: str, k: int = 4) -> str:
-    """A JSON answer from the chunks nearest to a question."""
-    query = spark.createDataFrame([(0, backend.embed(question))], "id long, vector array<double>")
-    found = store.search(database, table, query, k).orderBy(F.desc("similarity"), "vec_id").collect()
-    context = "\n".join(r["content"] for r in found)
-    return json.dumps({"output": backend.generate(f"{context}\n\n{question}", {}), "sources": [r["vec_id"] for r in found]}, ensure_ascii=False)
+    """A JSON answer to one question."""
+    return answers(store, database, table, backend, spark.createDataFrame([(0, question)], "id long, question string"), k).first()["answer"]
+
+
+#: Bytes of texts and vectors that a deployed function may hold in every worker.
+DEPLOYED_BYTES = 64 << 20
+
+
+def deploy(spark: SparkSession, store: VectorStore, database: str, table: str, make, options: dict, name: str, k: int = 4) -> None:
+    """A SQL function from a question to a JSON answer over a vector table.
+
+    The table goes to all workers, so its size is checked first; a larger one
+    is asked by ``answers``, which joins.
+    """
+    import numpy as np
+
+    rows = store.read(database, table)
+    size = rows.agg(F.sum(F.octet_length("content") + 8 * F.size("vector") + 8)).first()[0] or 0
+    if size > DEPLOYED_BYTES:
+        raise ValueError(f"{database}.{table} has {size} bytes, more than the {DEPLOYED_BYTES} that a function holds; ask it by run ... as LLMQADeploy")
+    kept = sorted((r["id"], r["content"], r["vector"]) for r in rows.where("vector is not null").collect())
+    shared = spark.sparkContext.broadcast(kept)
+
+    @F.pandas_udf("string")
+    def ask(questions: pd.Series) -> pd.Series:
+        backend, own = make(options), shared.value
+        matrix = np.array([v for _, _, v in own], dtype=float).reshape(len(own), -1)
+        length = np.linalg.norm(matrix, axis=1)
+        out = []
+        for question in questions:
+            question = question or ""
+            vector = np.array(backend.embed(question), dtype=float)
+            best = []
+            if len(own) and np.linalg.norm(vector):
+                value = matrix @ vector / np.where(length > 0, length, np.inf) / np.linalg.norm(vector)
+                # By likeness, then by id, which is the order of the rows; rows without length are like nothing.
+                best = [i for i in np.argsort(-value, kind="stable") if length[i] > 0][:k]
+            context = "\n".join(own[i][1] for i in best)
+            said = backend.generate(f"{context}\n\n{question}", {})
+            out.append(json.dumps({"output": said, "sources": [own[i][0] for i in best]}, ensure_ascii=False))
+        return pd.Series(out)
+
+    spark.udf.register(name, ask)

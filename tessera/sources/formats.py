@@ -38,6 +38,8 @@ def load(ctx, fmt: str, path: str, options: dict[str, str]) -> DataFrame:
         return VersionedTable(spark, path).read(int(version) if version is not None else None)
     if kind in ("hbase", "hbase2x"):
         return hbase.read(spark, _client(ctx, options), path, options)
+    if kind == "modelexplain" and options.get("alg"):
+        return _explain_model(ctx, path, options)
     if kind in ("modelparams", "modelexample", "modelexplain"):
         return _explain(ctx, kind, path)
     if kind == "jdbc":
@@ -122,17 +124,41 @@ def _explain(ctx, kind: str, name: str) -> DataFrame:
     return ctx.spark.createDataFrame([(name, text)], "name string, value string")
 
 
+def _explain_model(ctx, path: str, options: dict[str, str]) -> DataFrame:
+    """(name, value) of a trained model: the one of ``algIndex``, or the best."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    from ..ml import training
+
+    alg = options["alg"]
+    if alg not in OPERATORS or OPERATORS[alg].predict is None:
+        raise ValueError(f"{alg} trains no models")
+    index = int(options["algIndex"]) if "algIndex" in options else None
+    row = training.best_model(ctx.spark, path, index, "rmse" if alg.endswith("Regressor") else "f1")
+    rows = training.explain(DefaultParamsReader.loadParamsInstance(row["modelPath"], ctx.spark))
+    return ctx.spark.createDataFrame(rows, "name string, value string")
+
+
 def _images(df: DataFrame, path: str, options: dict[str, str]) -> None:
-    """One file for each row, from a binary column and a name column; written where the rows are."""
+    """One file for each row, from a binary column and a name column, into a folder that all executors share.
+
+    The folder may be an address of an object store or HDFS; a path without a
+    scheme is on the executors' own disks, so only a local session takes it.
+    """
     content, name = options.get("imageColumn", "content"), options.get("fileName", "name")
+    if "://" not in path and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"images need a folder with a scheme that all executors share, not {path}")
     jvm_free = df.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content"))
 
     def write(rows):
         import os
 
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        store.create_dir(root, recursive=True)
         for row in rows:
-            with open(os.path.join(path.removeprefix("file:"), os.path.basename(row["name"])), "wb") as out:
+            with store.open_output_stream(f"{root.rstrip('/')}/{os.path.basename(row['name'])}") as out:
                 out.write(row["content"])
 
     jvm_free.foreachPartition(write)

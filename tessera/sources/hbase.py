@@ -3,18 +3,23 @@
 The client is a transport that a deployment gives: an object with
 ``scan(table, family)``, which yields (rowkey, {(family, column): (bytes, ts)}),
 and ``put(table, rows)``. One with ``create(table, family, splits)`` makes a
-missing table, split in as many regions as the option ``numReg`` says. Codecs and
-shapes are here and need none.
+missing table, split in as many regions as the option ``numReg`` says. One with
+``regions(table)``, a list of (start, stop) keys, is scanned by executors, a task
+a region, through ``scan_range(table, family, start, stop)``; it goes to them
+pickled. Codecs and shapes are here and need none.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows that a task of a scan hands on at once.
+ROWS_AT_ONCE = 1000
 _CODES = {"int": ">i", "long": ">q", "short": ">h", "float": ">f", "double": ">d"}
 _ALIASES = {"integer": "int", "bigint": "long", "smallint": "short", "bool": "boolean"}
 
@@ -68,8 +73,25 @@ def rows_of(scan: Iterable, types: dict[str, str], ts_suffix: str = "_ts") -> It
 
 def read(spark: SparkSession, client, path: str, options: dict[str, str]) -> DataFrame:
     _, namespace, table = parse_address(path)
-    scan = client.scan(f"{namespace}:{table}", options.get("family"))
-    return spark.createDataFrame(list(rows_of(scan, field_types(options), options.get("tsSuffix", "_ts"))), "rowkey string, content string")
+    name, family, types, suffix = f"{namespace}:{table}", options.get("family"), field_types(options), options.get("tsSuffix", "_ts")
+    schema = "rowkey string, content string"
+    if not hasattr(client, "regions"):
+        return spark.createDataFrame(list(rows_of(client.scan(name, family), types, suffix)), schema)
+    regions = [(k, bytes(start), bytes(stop)) for k, (start, stop) in enumerate(client.regions(name))]
+    if not regions:
+        return spark.createDataFrame([], schema)
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, stop in zip(batch.column("start").to_pylist(), batch.column("stop").to_pylist()):
+                rows = rows_of(client.scan_range(name, family, start, stop), types, suffix)
+                while part := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([c for _, c in part])], ["rowkey", "content"])
+
+    dealt = spark.createDataFrame(regions, "k int, start binary, stop binary").repartitionByRange(len(regions), "k")
+    return dealt.select("start", "stop").mapInArrow(scan, schema)
 
 
 def cells_of(row: dict, family: str = "f", rowkey: str = "rowkey", ts_suffix: str | None = None, types: dict[str, str] | None = None) -> tuple[bytes, dict]:

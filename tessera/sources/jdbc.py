@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
 import uuid
 
@@ -110,12 +108,12 @@ class Connections:
         return None
 
 
-def cleanup(folder: str, days: float = 2.0) -> list[str]:
-    """Remove entries of a local cache folder that are older than that."""
-    limit, removed = time.time() - days * 86400, []
-    for name in os.listdir(folder) if os.path.isdir(folder) else []:
-        path = os.path.join(folder, name)
-        if os.path.getmtime(path) < limit:
-            shutil.rmtree(path) if os.path.isdir(path) else os.unlink(path)
-            removed.append(name)
-    return sorted(removed)
+def cleanup(spark: SparkSession, folder: str, days: float = 2.0) -> list[str]:
+    """Remove entries of a cache folder, on whatever file system, that are older than that."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    limit = (time.time() - days * 86400) * 1000
+    old = [s.getPath() for s in files.listStatus(where) if s.getModificationTime() < limit]
+    return sorted(p.getName() for p in old if files.delete(p, True))

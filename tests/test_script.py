@@ -1,9 +1,12 @@
+import json
+
 import pytest
 
 from tessera.admin.auth import AccessDenied, Policy, PolicyStore, Use
 from tessera.admin.errors import Renderer
 from tessera.admin.suggest import suggest
 from tessera.context import ScriptContext, expand_include
+from tessera.ml import vector_store
 from tessera.operators.asserts import AssertionFailed
 from tessera.registry import COMMANDS, OPERATORS
 from tessera.script import hints
@@ -125,6 +128,10 @@ def test_binning_and_models(ctx, tmp_path):
     ctx.run("select array(cast(age as double)) as features, label from more as vectors;")
     report = ctx.run(f"train vectors as XGBoostClassifier.`{tmp_path}/m` where fitParam.0.maxDepth=\"2\" and fitParam.1.maxDepth=\"99\" and evaluateTable=\"vectors\" as report;")
     assert [r["status"] for r in report.orderBy("algIndex").collect()] == ["success", "fail"]
+    told = dict(ctx.run(f"load modelExplain.`{tmp_path}/m` where alg=\"XGBoostClassifier\" and algIndex=\"0\" as told;").collect())
+    assert told["maxDepth"] == "2" and int(told["totalNumNodes"]) >= 10
+    idle = ctx.run(f"train vectors as XGBoostClassifier.`{tmp_path}/i` where fitParam.0.maxDepth=\"2\" and fitParam.0.objective=\"x\" as report2;").first()
+    assert (idle["status"], idle["message"]) == ("success", "without effect: objective")
     assert "prediction" in ctx.run(f"predict vectors as XGBoostClassifier.`{tmp_path}/m` as p;").columns
 
 
@@ -142,6 +149,22 @@ def test_retrieval(ctx, spark):
     assert ctx.table("found").count() <= 1
 
 
+def test_question_answering(ctx, spark):
+    texts = [(1, "red apples grow"), (2, "blue fish swim"), (3, "")]
+    ctx.publish(spark.createDataFrame(texts, "doc_id long, text string"), "texts")
+    ctx.run("run texts as LLMQABuilder.`` where table=\"deployed\" as chunks;")
+    ctx.publish(spark.createDataFrame([(7, "blue fish"), (8, None), (9, "red apples"), (-1, "blue fish")], "id long, question string"), "questions")
+    got = {r["id"]: json.loads(r["answer"]) for r in ctx.run("run questions as LLMQADeploy.`` where table=\"deployed\" and k=\"1\" as said;").collect()}
+    assert got[7] == got[-1] and got[7]["output"] == "echo: blue fish swim\n\nblue fish" and got[9]["output"] == "echo: red apples grow\n\nred apples"
+    assert got[8] == {"output": "echo: \n\n", "sources": []}
+    ctx.run("register LLMQADeploy.`` as ask_corpus where table=\"deployed\" and k=\"1\";")
+    assert {r["id"]: json.loads(r["a"]) for r in ctx.run("select id, ask_corpus(question) as a from questions as said2;").collect()} == got
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vector_store, "DEPLOYED_BYTES", 10)
+        with pytest.raises(ValueError):
+            ctx.run("register LLMQADeploy.`` as ask_much where table=\"deployed\";")
+
+
 def test_every_operator_tells_its_parameters(ctx):
     for name in OPERATORS:
         assert ctx.run(f"load modelParams.`{name}` as p;").count() == len(OPERATORS[name].params)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import types as T
@@ -98,6 +99,41 @@ def test_hbase_shapes(spark):
     assert [r["rowkey"] for r in row] == ["r"] and json.loads(row[0]["content"]) == {"f:v": 3, "f:v_ts": 9}
 
 
+def test_hbase_regions_are_tasks(spark):
+    class Regions:
+        """A table of two regions that executors scan."""
+
+        def regions(self, table):
+            return [(b"", b"m"), (b"m", b"")]
+
+        def scan_range(self, table, family, start, stop):
+            rows = [(f"{c}{k}".encode(), {("f", "v"): (str(k).encode(), 1)}) for c in "az" for k in range(1500)]
+            return (r for r in rows if r[0] >= start and (not stop or r[0] < stop))
+
+    df = hbase.read(spark, Regions(), "t", {})
+    assert df.rdd.getNumPartitions() == 2
+    assert sorted(r["rowkey"] for r in df.collect()) == sorted(f"{c}{k}" for c in "az" for k in range(1500))
+
+
+def test_old_cache_entries_go(spark, tmp_path):
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "part").write_text("x")
+    (tmp_path / "new").mkdir()
+    os.utime(tmp_path / "old", (1, 1))
+    assert jdbc.cleanup(spark, str(tmp_path)) == ["old"] and [p.name for p in tmp_path.iterdir()] == ["new"]
+    assert jdbc.cleanup(spark, str(tmp_path / "none")) == []
+
+
+def test_images_are_files(spark, tmp_path):
+    from tessera.context import ScriptContext
+
+    ctx = ScriptContext(spark)
+    ctx.publish(spark.createDataFrame([("a.png", b"one"), ("b.png", b"two")], "name string, content binary"), "pictures")
+    for path in (f"{tmp_path}/i", f"file://{tmp_path}/j"):
+        ctx.run(f"save overwrite pictures as image.`{path}`;")
+    assert (tmp_path / "i/a.png").read_bytes() == (tmp_path / "j/a.png").read_bytes() == b"one"
+
+
 def test_jdbc(spark, tmp_path):
     own = jdbc.Connections(spark)
     own.add("d", {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
