@@ -50,3 +50,21 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     out = dealt.withColumns({v: F.sum(v).over(inside) for v in values.values()}).join(F.broadcast(starts), part)
     own = [c for c in df.columns if c not in sums]
     return out.select(*[F.col(f"`{c}`") for c in own], *[(F.coalesce(F.col(v), F.lit(0)) + F.coalesce(F.col(f"{v}_"), F.lit(0))).alias(n) for n, v in values.items()])
+
+
+def pairs_above(left: DataFrame, key: str, value: str, right: DataFrame, other: str, ranges: int | None = None) -> DataFrame:
+    """(``key``, n): how many pairs each ``key`` has in which ``left``'s ``value`` is greater than ``right``'s ``other``.
+
+    This is the count by ``key`` of an inner join on ``value > other``, so keys
+    without a pair have no row and a null makes none; NaN is above all numbers
+    and equal to NaN. No pair is formed: both sides are folded and put in one
+    order, left rows before right rows of their value, where the running count
+    of right rows is the number of a left row's pairs.
+    """
+    lefts = left.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("at"), F.col(key).alias("key")).agg(F.count("*").alias("times"))
+    rights = right.where(F.col(other).isNotNull()).groupBy(F.col(other).alias("at")).agg(F.count("*").alias("n"))
+    both = lefts.select("at", F.lit(0).alias("side"), "key", "times", F.lit(0).cast("long").alias("n")).unionByName(
+        rights.select("at", F.lit(1).alias("side"), F.lit(None).cast(lefts.schema["key"].dataType).alias("key"), F.lit(0).cast("long").alias("times"), "n")
+    )
+    counted = running_sums(both, [F.col("at"), F.col("side"), F.col("key")], {"n": F.col("n")}, ranges)
+    return counted.where("side = 0 and n > 0").groupBy(F.col("key").alias(key)).agg(F.sum(F.col("times") * F.col("n")).alias("n"))

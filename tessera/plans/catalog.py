@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import prompts
-from ..operators import analysis, asserts, columns, profiling, retrieval, scoring
+from ..operators import analysis, asserts, columns, ordered, profiling, retrieval, scoring
 from ..streaming import cdc, windows
 from .relational import SHARED, SPELLED
 
@@ -53,6 +53,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query("""
+        select p.p_partkey, count(*) as n from part p join supplier s on p.p_retailprice > s.s_acctbal group by p.p_partkey""")
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.pairs_above(table(spark, sf_dir, "part"), "p_partkey", "p_retailprice", table(spark, sf_dir, "supplier"), "s_acctbal")
+
+
 def _union(columns_: list[str], select: str) -> str:
     return " union all ".join(select.format(c=c) for c in columns_)
 

@@ -2,12 +2,16 @@
 
 import math
 import random
+from collections import Counter
 
+import duckdb
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tessera.operators import analysis, columns, profiling
-from tessera.operators.ordered import running_sums
+from tessera.operators.ordered import pairs_above, running_sums
+from tessera.plans import catalog
 
 
 def rows(n=3000, seed=3):
@@ -81,3 +85,50 @@ def test_roc_with_ties_and_missing_scores(spark):
     assert got == [(0.9, 0.333333, 0.5), (0.5, 0.666667, 0.5), (0.1, 0.666667, 1.0), (None, 1.0, 1.0)]
     # Trapezoids between (0, 0) and these points.
     assert analysis.auc(df, "label", "score").first()["auc"] == pytest.approx(0.5 * (1 / 3) / 2 + 0.5 * 2 / 3)
+
+
+def tables(folder, part, supplier):
+    con = duckdb.connect()
+    for name, columns_, data in (("part", "p_partkey bigint, p_retailprice double", part), ("supplier", "s_suppkey bigint, s_acctbal double", supplier)):
+        con.execute(f"create table {name} ({columns_})")
+        if data:
+            con.executemany(f"insert into {name} values (?, ?)", data)
+        con.execute(f"copy {name} to '{folder}/{name}.parquet' (format parquet)")
+    return con
+
+
+def odd_values(n, own):
+    return [own.choice([None, math.nan, math.inf, -math.inf, 0.0, -0.0, 5.0, own.randrange(-40, 40) / 4, own.uniform(-9, 9)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_theta_join_of_odd_values(spark, tmp_path, seed):
+    own = random.Random(seed)
+    # Keys are repeated or missing, and one key has many rows of one price.
+    part = [(own.choice([None, *range(150)]), v) for v in odd_values(400, own)] + [(7, 5.0)] * 300
+    con = tables(tmp_path, part, list(enumerate(odd_values(200, own))))
+    want = con.execute(catalog.ORACLES["theta_join"]).fetchall()
+    got = catalog.QUERIES["theta_join"](spark, str(tmp_path))
+    assert got.dtypes == [("p_partkey", "bigint"), ("n", "bigint")]
+    assert Counter(map(tuple, got.collect())) == Counter(want) and len(want) > 100
+
+
+@pytest.mark.parametrize(("part", "supplier"), [([], [(1, 2.0)]), ([(1, 2.0)], []), ([(1, 2.0)], [(1, 2.0), (2, None), (3, 3.0)])])
+def test_theta_join_without_pairs(spark, tmp_path, part, supplier):
+    tables(tmp_path, part, supplier)
+    assert catalog.QUERIES["theta_join"](spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 50])
+def test_pairs_above_over_ranges(spark, ranges):
+    own = random.Random(ranges)
+    left, right = [(k, own.randrange(300)) for k in range(800)], [(own.randrange(300),) for _ in range(500)]
+    out = pairs_above(spark.createDataFrame(left, "at int, side int"), "at", "side", spark.createDataFrame(right, "n int"), "n", ranges)
+    assert {r["at"]: r["n"] for r in out.collect()} == {k: n for k, v in left if (n := sum(x < v for (x,) in right))}
+
+
+def test_theta_join_forms_no_pairs(spark):
+    # All pairs of 60 times sf0.1 are 72 billion: no join may compare values of the two tables.
+    plan = catalog.QUERIES["theta_join"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x or "CartesianProduct" in x]
+    assert joins and not [x for x in joins if "p_retailprice" in x or "s_acctbal" in x]
